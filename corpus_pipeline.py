@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirepack.llm import decontaminate, pieces, pii, quality
+from quirepack.llm import decontaminate, jaccard, pieces, pii, quality
 from quirepack.llm.queries import _tokenizer
-from quirepack.llm.shared import new_folder
+from quirepack.llm.shared import new_folder, written
 
+#: 16 MB of numbers.
+MAX_BROADCAST_ROWS = 2_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -16,6 +18,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs).where("kept").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    from pyspark.sql import functions as F
+
+    groups = jaccard.join(docs, "doc_id", "text", 5, 80, 100)
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")
+    # duplicates are numbers: broadcast while there are few, joined beyond
+    few = gone.count() <= MAX_BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("__gone"), "left_anti").select(*COLUMNS)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark passages."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
@@ -33,8 +46,8 @@ def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.op8(docs, _tokenizer("piece_bpe_32k.model"))
 
 
-STAGES = [("quality rules", quality_rules), ("benchmark decontamination", decontamination), ("personal data", personal_data), ("piece ids", piece_ids)]
-#: The outlier estimates and the merge rounds have no form in SQL.
+STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("personal data", personal_data), ("piece ids", piece_ids)]
+#: The outlier estimates and the merge rounds have no form in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, pieces, pii, quality, sharding, token_files, warc
+from . import decontaminate, jaccard, licenses, pieces, pii, quality, sharding, token_files, warc
 
 SHARDS = 16
 
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.op1(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op2(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_sharding, op5_warc, op6_license_scan, op7_token_files, op8_pieces, op9_pii, op10_quality)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op3_sharding, op5_warc, op6_license_scan, op7_token_files, op8_pieces, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
