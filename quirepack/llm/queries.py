@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, licenses, pieces, pii, quality, sharding, token_files, warc
+from . import decontaminate, jaccard, licenses, pieces, pii, quality, sharding, substrings, token_files, warc
 
 SHARDS = 16
 
@@ -33,6 +33,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), "doc_id", "text", [1.0] * SHARDS, [1.0] * (SHARDS + 1))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.op4(_table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op5(_table(spark, sf_dir, "pages"))
 
@@ -58,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op3_sharding, op5_warc, op6_license_scan, op7_token_files, op8_pieces, op9_pii, op10_quality)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op3_sharding, op4_substring_dedup, op5_warc, op6_license_scan, op7_token_files, op8_pieces, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
