@@ -49,7 +49,7 @@ from .components import components
 from .shared import written
 from .textscan import SPACED_LOWER, Block, blocks, mix, sequence_hashes
 
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 HEAVY_TOKENS = 1 << 18
 SCAN_COST = 16
 #: Sets beyond this size are never enumerated, whatever the costs.
