@@ -39,9 +39,8 @@ from .textscan import SPACED, Block, blocks, mix, sequence_hashes
 
 WINDOW = 35
 ANCHOR = 10
-HOT = 500
-#: Numbers (of places or spans) up to which a side is broadcast: 32 MB; beyond, texts are shuffled to it.
-MAX_BROADCAST_NUMBERS = 4_000_000
+#: A block holds all runs of its anchors, of about 150 bytes each: 7 MB for the largest anchor dealt this way.
+HOT = 50_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -170,28 +169,20 @@ def _parse(runs: DataFrame, window: int) -> DataFrame:
     return runs.select("route", "key", "start", "hashes").repartition("route").mapInArrow(run, "key long, start int, length int, ref_key long, ref_start int")
 
 
-def _onto(rows: DataFrame, side: DataFrame, numbers: int) -> DataFrame:
-    """rows (key, ...) left-joined to a side of one row a key; broadcast only if the side has few numbers in all."""
-    own = side.withColumnRenamed("key", "__key")
-    return rows.join(F.broadcast(own) if numbers <= MAX_BROADCAST_NUMBERS else own, F.col("key") == F.col("__key"), "left").drop("__key")
-
-
-def duplicate_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> tuple[DataFrame, int]:
-    """(key, spans: starts and ends in words, overlapping) of rows (key, text), for keys with any; and the number of spans. rows are read more than once and must have stable keys."""
+def duplicate_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+    """(key, spans: starts and ends in words, overlapping) of rows (key, text), for keys with any. rows are read more than once and must have stable keys."""
     anchors = written(_anchors(rows, window, anchor), "anchors")
     repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     place = (2 * F.col("pos") + (F.col("k") > hot).cast("int")).alias("place")
     places = written(anchors.join(repeated, "anchor").select("key", place).groupBy("key").agg(F.collect_list("place").alias("places")), "places")
-    number = places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
     own = places.withColumnRenamed("key", "__key")
-    met = rows.join(F.broadcast(own) if number <= MAX_BROADCAST_NUMBERS else own, F.col("key") == F.col("__key")).select("key", "text", "places")
+    met = rows.join(own, F.col("key") == F.col("__key")).select("key", "text", "places")
     runs = written(_runs(met, window, anchor), "runs")
     factors = _parse(runs.where("not hot"), window).select("key", "start", (F.col("start") + F.col("length")).alias("end"))
     single = runs.where("hot").select("route", "key", "start")
     more = single.groupBy("route").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("route")
     counted = single.join(more, "route").select("key", "start", (F.col("start") + window).alias("end"))
-    spans = written(factors.union(counted).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    return spans, spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    return written(factors.union(counted).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
 
 
 def _covered(batch: pa.RecordBatch, block: Block, spans: str) -> np.ndarray:
@@ -214,8 +205,8 @@ def with_kept(df: DataFrame, text: str = "text", window: int = WINDOW, stable: b
     """
     keyed = df.withColumn("key", F.monotonically_increasing_id())
     keyed = keyed if stable else written(keyed, "documents")
-    spans, number = duplicate_spans(keyed.select("key", F.col(f"`{text}`").alias("text")), window)
-    rows = _onto(keyed, spans.withColumnRenamed("spans", "__spans"), number)
+    spans = duplicate_spans(keyed.select("key", F.col(f"`{text}`").alias("text")), window)
+    rows = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), F.col("key") == F.col("__key"), "left").drop("__key")
     fields = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
