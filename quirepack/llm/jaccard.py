@@ -11,7 +11,7 @@ Heavy side. Larger sets are found through inverted lists. A list need only hold
 a set's first s - ceil(num s / den) + 1 shingles in a global order, rare ones
 first: linked sets meet in one of these, and there the shingles that remain in
 both must be c(a, b) at least. The lists are scanned in two rounds, so that no
-group emits all its pairs: first every member against one hub of its list;
+group emits all its pairs: first every member against two hubs of its list;
 then, with the components of the verified links known, members outside a list's
 largest component against those members that are in another component. Each
 candidate pair is verified on the whole sets.
@@ -40,6 +40,7 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +53,8 @@ from .textscan import SPACED_LOWER, Block, blocks, mix, sequence_hashes
 STRETCH = 1_000_000
 HEAVY_TOKENS = 1 << 18
 SCAN_COST = 16
+#: Shingles whose lists are longer in a first dealing come last in the order of the second.
+LONG_LIST = 24
 #: Sets beyond this size are never enumerated, whatever the costs.
 LARGEST_LIGHT = 24
 #: Nodes whose ids are broadcast to pick out the sets to verify: 32 MB; beyond, they are joined.
@@ -283,14 +286,15 @@ def _light_links(subsets: DataFrame) -> DataFrame:
 
 def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, lists: DataFrame) -> DataFrame:
     """Links of nodes that meet in inverted lists (token, hi, n, pos)."""
-    shared = lists.groupBy("token").agg(F.min("hi").alias("hub"), F.max("hi").alias("other")).where("hub <> other").drop("other")
+    shared = lists.groupBy("token").agg(F.min("hi").alias("hub"), F.max("hi").alias("other")).where("hub <> other")
     met = written(lists.join(shared, "token").distinct(), "lists")
-    hubs = met.where("hi = hub").select("token", F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
+    hubs = met.where("hi = hub or hi = other").select("token", F.col("hi").alias("hub_hi"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
     near = lambda a, i, b, j: rule.near_sizes(F.col(a), F.col(b)) & rule.enough(F.col(a), F.col(i), F.col(b), F.col(j))
-    first = written(met.where("hi <> hub").join(hubs, "token").where(near("n", "pos", "hub_n", "hub_pos")).select(F.col("hub").alias("a"), F.col("hi").alias("b")).distinct(), "pairs")
+    starred = met.join(hubs, "token").where((F.col("hi") != F.col("hub_hi")) & near("n", "pos", "hub_n", "hub_pos"))
+    first = written(starred.select(F.least("hi", "hub_hi").alias("a"), F.greatest("hi", "hub_hi").alias("b")).distinct(), "pairs")
     links = _verified(df, text, n, rule, first)
     labels = components(links.select(F.col("a"), F.col("b")))
-    labelled = met.drop("hub").join(labels.select(F.col("node").alias("hi"), "root"), "hi", "left").withColumn("root", F.coalesce("root", "hi"))
+    labelled = met.drop("hub", "other").join(labels.select(F.col("node").alias("hi"), "root"), "hi", "left").withColumn("root", F.coalesce("root", "hi"))
     labelled = written(labelled, "labelled")
     by = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = by.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("top.root").alias("top"))
@@ -313,8 +317,15 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num
     nodes = written(documents.where("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("key").alias("least")), "nodes")
     sizes = {r["n"]: r["c"] for r in nodes.where(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     most_light = boundary(rule, sizes)
-    postings = written(_postings(df, text, n, rule, order, rule.least_partner(most_light + 1), most_light), "postings")
-    links = _heavy_links(df, text, n, rule, postings.where("pos is not null").select("token", "hi", "n", "pos"))
+    least, lists = rule.least_partner(most_light + 1), F.col("pos").isNotNull()
+    postings = written(_postings(df, text, n, rule, order, least, most_light), "postings")
+    # lists that turn out long: their shingles come last as well
+    long = postings.where(lists).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LONG_LIST).orderBy(F.desc("c"), "token").limit(HEAVY_TOKENS).toPandas()
+    if len(long):
+        top = pd.concat([top, long]).groupby("token", as_index=False)["c"].max()
+        order = spark.sparkContext.broadcast(Order(top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)))
+        postings = written(_postings(df, text, n, rule, order, least, most_light), "postings")
+    links = _heavy_links(df, text, n, rule, postings.where(lists).select("token", "hi", "n", "pos"))
     light = _light_links(postings.where("pos is null").select("token", "token2", "hi", F.col("n").alias("side")))
     roots = components(links.union(light))
     labelled = nodes.join(roots.select(F.col("node").alias("hi"), "root"), "hi", "left").withColumn("root", F.coalesce("root", "hi"))

@@ -47,6 +47,9 @@ TRAIN_BYTES = 1 << 20
 DICT_BYTES = 32 << 10
 FILE_BYTES = 24 << 20
 LEVEL = 3
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[list(b".,;:!?")] = True
 
 
 class WordIds:
@@ -68,8 +71,11 @@ class WordIds:
         """The ids of each text."""
         for block in blocks(column, SPACED, 4 << 20):
             if len(block.starts):
-                flat, counts = self.cache.ids(block.raw, np.append(block.starts, len(block.raw)))
-                ends = np.append(0, np.cumsum(counts))[block.bounds]
+                # the tokenizer also splits between a letter and a mark, so words and marks can be looked up apart
+                marked = np.flatnonzero(_LETTER[block.raw[:-1]] & _MARK[block.raw[1:]]) + 1
+                cuts = np.union1d(block.starts, marked)
+                flat, counts = self.cache.ids(block.raw, np.append(cuts, len(block.raw)))
+                ends = np.append(0, np.cumsum(counts))[np.searchsorted(cuts, block.offsets)]
             else:
                 flat, ends = np.zeros(0, np.int32), np.zeros(block.docs + 1, np.int64)
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
