@@ -92,7 +92,7 @@ def _without(inside: str, banned: str) -> str:
     test = re.compile(f"[{inside}]") if inside else None
     chars = "".join(_quoted(chr(c)) for c in range(1, 128) if chr(c) not in banned and test and test.match(chr(c)))
     wide = "".join(re.findall(r"[^\x00-\x7f](?:-[^\x00-\x7f])?", inside))
-    return f"[{chars}{wide}]" if chars or wide else r"[^\x00-\x{10ffff}]"
+    return f"[{chars}{wide}]" if chars or wide else r"[^\s\S]"
 
 
 def mask_matches(path: Column, mask: str) -> Column:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quirepack.functions.names import MOST_NAME_BYTES, mask_regex
 
@@ -27,7 +28,7 @@ class InputError(ValueError):
 def _matches(path: str, masks: list[str]) -> bool:
     import re
 
-    return not masks or any(re.fullmatch(mask_regex(m).replace(r"\x{10ffff}", "\U0010ffff"), path if "/" in m else path.rpartition("/")[2]) for m in masks)
+    return not masks or any(re.fullmatch(mask_regex(m), path if "/" in m else path.rpartition("/")[2]) for m in masks)
 
 
 def _walk(directory: str, prefix: str, recursive: bool) -> Iterator[tuple[str, str, os.stat_result]]:
@@ -109,7 +110,7 @@ def entries(spark: SparkSession, rows: list[tuple], partitions: int | None = Non
 
 def with_payload(df: DataFrame) -> DataFrame:
     """df with payload: the file's bytes, of exactly the size seen before."""
-    schema = df.schema.add("payload", "binary")
+    schema = StructType([*df.schema.fields, StructField("payload", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
