@@ -59,8 +59,8 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
     covered = f"size(array_distinct(flatten(transform({again}, p -> array(p, p + 1, p + 2)))))"
     # most texts repeat no window, which a hash set shows more cheaply than a sort
     repeats = f"if(size(w) < 4, 0, {_let(hashes, 'h', f'if(size(array_distinct(h)) = size(h), 0, {_let(ordered, "s", covered)})')})"
-    words = f"array_remove(split({t}, '[ \\t\\n\\u000B\\f\\r]+'), '')"
-    lines = f"filter(split({t}, '\\n'), l -> l rlike '[^ \\t\\n\\u000B\\f\\r]')"
+    words = f"array_remove(split({t}, '[ \\u0009-\\u000D]+'), '')"
+    lines = f"filter(split({t}, '\\n'), l -> l rlike '[^ \\u0009-\\u000D]')"
     symbols = t
     for symbol in SYMBOLS:
         symbols = f"replace({symbols}, '{symbol}', '')"
