@@ -18,7 +18,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quirepack.functions.names import MOST_NAME_BYTES, mask_regex
 
-ENTRY_SCHEMA = "ordinal long, path string, raw_name binary, name string, name_len int, flags int, mode long, size long, mtime double, dev long, ino long"
+ENTRY_SCHEMA = "ordinal long, path string, raw_name binary, name string, name_len int, flags int, mode long, size long, mtime double, dev long, ino long, raw_path binary"
 
 
 class InputError(ValueError):
@@ -78,7 +78,9 @@ def discover(inputs: list[str], recursive: bool, literal_from: int = 1 << 30, ar
             flags = 0x0800
         except UnicodeDecodeError:
             flags = 0
-        rows.append((len(rows), os.fsencode(path).decode(errors="surrogateescape").encode(errors="replace").decode() if not flags else path, raw, raw.decode(errors="replace"), len(raw), flags, status.st_mode, status.st_size, status.st_mtime, status.st_dev, status.st_ino))
+        # tasks do not run in the driver's working directory
+        whole = os.path.abspath(path)
+        rows.append((len(rows), whole if flags else None, raw, raw.decode(errors="replace"), len(raw), flags, status.st_mode, status.st_size, status.st_mtime, status.st_dev, status.st_ino, os.fsencode(whole)))
 
     if not sources:
         masks = masks or ["*"]
@@ -116,13 +118,11 @@ def with_payload(df: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):  # one payload at a time
                 row = batch.slice(i, 1)
-                path, size = row.column("path")[0].as_py(), row.column("size")[0].as_py()
-                if not os.path.exists(path):
-                    path = os.fsdecode(row.column("raw_name")[0].as_py())
+                path, size = row.column("raw_path")[0].as_py(), row.column("size")[0].as_py()
                 with open(path, "rb") as f:
                     data = f.read(size + 1)
                 if len(data) != size:
-                    raise InputError(f"file changed while it was read: {path}")
+                    raise InputError(f"file changed while it was read: {path!r}")
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], names=[*batch.schema.names, "payload"])
 
     return df.mapInArrow(run, schema)
