@@ -12,7 +12,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-#: Segments kept in a worker; then the cache starts anew.
+#: Segments kept in a worker: half of them in use, half of them from before. When the first half is full,
+#: it takes the place of the second, so segments that come up again stay.
 MOST = 500_000
 #: Longer segments are not kept.
 LONGEST = 64
@@ -21,20 +22,26 @@ LONGEST = 64
 class SegmentIds:
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]]) -> None:
         """encode: segments to little-endian int32 ids."""
-        self.encode, self.known = encode, {}
+        self.encode, self.known, self.before = encode, {}, {}
 
     def ids(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the segments data[cuts[i]:cuts[i + 1]], one after the other, and each segment's number of ids."""
         if len(cuts) < 2:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        if len(self.known) > MOST:
-            self.known = {}
+        if len(self.known) > MOST // 2:
+            self.known, self.before = {}, self.known
         array = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts, np.int32)), pa.py_buffer(data)])
         coded = array.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        known = self.known
-        found = [known.get(x) for x in distinct]
-        new = [i for i, x in enumerate(found) if x is None]
+        known, before = self.known, self.before
+        found = list(map(known.get, distinct))
+        new = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            x = before.get(distinct[i])
+            if x is None:
+                new.append(i)
+            else:
+                found[i] = known[distinct[i]] = x
         if new:
             for i, x in zip(new, self.encode([distinct[i] for i in new])):
                 found[i] = x

@@ -26,6 +26,7 @@ import hashlib
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,8 @@ TRAIN_BYTES = 1 << 20
 DICT_BYTES = 32 << 10
 FILE_BYTES = 24 << 20
 LEVEL = 3
-_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER, _MARK, _UPPER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_UPPER[0x41:0x5B] = True
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _MARK[list(b".,;:!?")] = True
 
@@ -61,20 +63,36 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
         self.cache = SegmentIds(self._encode)
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode().strip(" \t\n\v\f\r") for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<i4").tobytes() for x in found]
+        # the fast form leaves out offsets, not ids
+        found = self.tokenizer.encode_batch_fast([w.decode().strip(" \t\n\v\f\r") for w in words], add_special_tokens=False)
+        return [array("i", x.ids).tobytes() for x in found]
+
+    def _folded(self, raw: np.ndarray) -> np.ndarray:
+        """raw with A-Z in lower case where the tokenizer lower-cases anyway, so that both cases share a look-up.
+
+        Letters before other than ASCII stay, since they may be composed first;
+        so do texts with special tokens' brackets, which are matched by case.
+        """
+        if not self.lowers or b"<|" in raw.tobytes():
+            return raw
+        fold = _UPPER[raw]
+        fold[:-1] &= raw[1:] < 0x80
+        return raw + (fold.view(np.uint8) << 5)
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text."""
         for block in blocks(column, SPACED, 4 << 20):
             if len(block.starts):
                 # the tokenizer also splits between a letter and a mark, so words and marks can be looked up apart
-                marked = np.flatnonzero(_LETTER[block.raw[:-1]] & _MARK[block.raw[1:]]) + 1
-                cuts = np.union1d(block.starts, marked)
-                flat, counts = self.cache.ids(block.raw, np.append(cuts, len(block.raw)))
+                begins = np.zeros(len(block.raw), bool)
+                begins[1:] = _LETTER[block.raw[:-1]] & _MARK[block.raw[1:]]
+                begins[block.starts] = True
+                cuts = np.flatnonzero(begins)
+                flat, counts = self.cache.ids(self._folded(block.raw), np.append(cuts, len(block.raw)))
                 ends = np.append(0, np.cumsum(counts))[np.searchsorted(cuts, block.offsets)]
             else:
                 flat, ends = np.zeros(0, np.int32), np.zeros(block.docs + 1, np.int64)
