@@ -15,11 +15,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier test keep."""
-    return quality.judge(docs).where("kept").select(*COLUMNS)
+    # written once: a filter on the verdict would otherwise compute the statistics several times
+    rows = written(quality.with_statistics(docs.select(*COLUMNS)), "statistics")
+    return quality.judge(docs, fitted=rows).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    """One document, that of the least doc_id, of each group linked by five-word shingles at a similarity of 0.8 or more.
+
+    Rows that share a doc_id stay or go together; rows without one stay.
+    """
     from pyspark.sql import functions as F
 
     groups = jaccard.join(docs, "doc_id", "text", 5, 80, 100)
