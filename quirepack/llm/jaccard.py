@@ -11,10 +11,16 @@ Heavy side. Larger sets are found through inverted lists. A list need only hold
 a set's first s - ceil(num s / den) + 1 shingles in a global order, rare ones
 first: linked sets meet in one of these, and there the shingles that remain in
 both must be c(a, b) at least. The lists are scanned in two rounds, so that no
-group emits all its pairs: first every member against two hubs of its list;
-then, with the components of the verified links known, members outside a list's
-largest component against those members that are in another component. Each
-candidate pair is verified on the whole sets.
+group emits all its pairs: first every member against two hubs of its list, one
+of them the member with the fewest rarer shingles of its own, which of a group of
+copies is the least changed one; then, with the components of the verified links
+known, members outside a list's largest component against those members that are
+in another component. Each candidate pair is verified on the whole sets.
+
+Before that, parity bitmaps sort pairs out without the sets: each shingle flips one
+of PARITY_WORDS * 64 bits of its node, so two nodes' bitmaps differ in no more bits
+than their sets have shingles that only one of them has. Pairs that differ in more
+than a link allows are no links; nothing else is left out.
 
 The size at which sets change sides is chosen by cost: what enumeration would emit
 against what lists would cost for the sizes that are there (SCAN_COST a posting).
@@ -57,6 +63,8 @@ SCAN_COST = 16
 LONG_LIST = 24
 #: Sets beyond this size are never enumerated, whatever the costs.
 LARGEST_LIGHT = 24
+PARITY_WORDS = 4
+PARITY = tuple(f"b{i}" for i in range(PARITY_WORDS))
 #: Nodes whose ids are broadcast to pick out the sets to verify: 32 MB; beyond, they are joined.
 MAX_BROADCAST_NODES = 2_000_000
 _ONE, _TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -95,6 +103,17 @@ def node_ids(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hi.view(np.int64), lo.view(np.int64)
 
 
+def parities(flat: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The words of each set's parity bitmap."""
+    some = np.flatnonzero(np.diff(bounds))
+    word, bit = (flat >> np.uint64(6)) % np.uint64(PARITY_WORDS), np.uint64(1) << (flat & np.uint64(63))
+    out = [np.zeros(len(bounds) - 1, np.uint64) for _ in range(PARITY_WORDS)]
+    if len(some):
+        for k, x in enumerate(out):
+            x[some] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), bounds[some])
+    return [x.view(np.int64) for x in out]
+
+
 class Rule:
     """Link when den * intersection >= num * union."""
 
@@ -117,6 +136,10 @@ class Rule:
         """Whether sets of sizes a and b, met at places i and j, can still have enough in common."""
         return F.least(a - i, b - j) * (self.num + self.den) >= self.num * (a + b)
 
+    def alike(self, a: Column, b: Column, differing: Column) -> Column:
+        """Whether sets of sizes a and b whose bitmaps differ in so many bits can be linked."""
+        return differing * (self.num + self.den) <= (self.den - self.num) * (a + b)
+
 
 def partner_sizes(rule: Rule, s: int, most: int) -> list[int]:
     return [t for t in range(rule.least_partner(s), min(most, s * rule.den // rule.num) + 1) if rule.common(s, t) <= min(s, t)]
@@ -134,8 +157,8 @@ def boundary(rule: Rule, sizes: dict[int, int], scan_cost: float = SCAN_COST) ->
 
 
 def _heads(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Rows of documents (kind 0: key, hi, lo, n) and of shingles seen more than once in a stretch (kind 1: hi as the shingle, n as its count)."""
-    schema = StructType([StructField("kind", IntegerType()), StructField("key", df.schema[key].dataType), StructField("hi", LongType()), StructField("lo", LongType()), StructField("n", LongType())])
+    """Rows of documents (kind 0: key, hi, lo, n and the parity bitmap) and of shingles seen more than once in a stretch (kind 1: hi as the shingle, n as its count)."""
+    schema = StructType([StructField("kind", IntegerType()), StructField("key", df.schema[key].dataType), StructField("hi", LongType()), StructField("lo", LongType()), StructField("n", LongType()), *(StructField(b, LongType()) for b in PARITY)])
 
     def often(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -148,14 +171,14 @@ def _heads(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
         def shingle_rows() -> pa.RecordBatch:
             tokens, counts = often(held)
             m = len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind), pa.array(tokens.view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(counts.astype(np.int64))], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind), pa.array(tokens.view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(counts.astype(np.int64)), *(pa.nulls(m, pa.int64()) for _ in PARITY)], names=schema.names)
 
         for batch in batches:
             kind = batch.column(0).type
             for block in blocks(batch.column(1), SPACED_LOWER):
                 flat, bounds = shingle_sets(block, n)
                 hi, lo = node_ids(flat, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.docs, np.int32)), batch.column(0).slice(block.first, block.docs), pa.array(hi), pa.array(lo), pa.array(np.diff(bounds))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.docs, np.int32)), batch.column(0).slice(block.first, block.docs), pa.array(hi), pa.array(lo), pa.array(np.diff(bounds)), *map(pa.array, parities(flat, bounds))], names=schema.names)
                 held.append(flat)
                 size += len(flat)
                 if size >= STRETCH:
@@ -284,13 +307,22 @@ def _light_links(subsets: DataFrame) -> DataFrame:
     return met.select(other.alias("a"), F.col("hi").alias("b")).where("a <> b").distinct()
 
 
-def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, lists: DataFrame) -> DataFrame:
-    """Links of nodes that meet in inverted lists (token, hi, n, pos)."""
-    shared = lists.groupBy("token").agg(F.min("hi").alias("hub"), F.max("hi").alias("other")).where("hub <> other")
-    met = written(lists.join(shared, "token").distinct(), "lists")
-    hubs = met.where("hi = hub or hi = other").select("token", F.col("hi").alias("hub_hi"), F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
-    near = lambda a, i, b, j: rule.near_sizes(F.col(a), F.col(b)) & rule.enough(F.col(a), F.col(i), F.col(b), F.col(j))
-    starred = met.join(hubs, "token").where((F.col("hi") != F.col("hub_hi")) & near("n", "pos", "hub_n", "hub_pos"))
+def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of nodes (hi and bitmap) that meet in inverted lists (token, hi, n, pos)."""
+    # places first, then nodes, in one number; equal numbers only make more hubs
+    place = F.expr("(least(pos, 262143) * 17592186044416L) | shiftrightunsigned(hi, 20)")
+    shared = lists.groupBy("token").agg(F.min("hi").alias("low"), F.max("hi").alias("other"), F.min(place).alias("hub")).where("low <> other").drop("low")
+    # dealt by node for the bitmaps, which serves the distinct rows as well
+    met = written(lists.join(shared, "token").join(nodes.select("hi", *PARITY), "hi").distinct(), "lists")
+    the = lambda what: [F.col(c).alias(f"{what}_{c}") for c in ("hi", "n", "pos", *PARITY)]
+    hubs = met.where((place == F.col("hub")) | (F.col("hi") == F.col("other"))).select("token", *the("hub"))
+
+    def near(what: str) -> Column:
+        a, i, b, j = map(F.col, ("n", "pos", f"{what}_n", f"{what}_pos"))
+        differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{what}_{w}"))) for w in PARITY[1:]), F.bit_count(F.col(PARITY[0]).bitwiseXOR(F.col(f"{what}_{PARITY[0]}"))))
+        return rule.near_sizes(a, b) & rule.enough(a, i, b, j) & rule.alike(a, b, differing)
+
+    starred = met.join(hubs, "token").where((F.col("hi") != F.col("hub_hi")) & near("hub"))
     first = written(starred.select(F.least("hi", "hub_hi").alias("a"), F.greatest("hi", "hub_hi").alias("b")).distinct(), "pairs")
     links = _verified(df, text, n, rule, first)
     labels = components(links.select(F.col("a"), F.col("b")))
@@ -299,10 +331,10 @@ def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, lists: DataFrame)
     by = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = by.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("top.root").alias("top"))
     mixed = written(labelled.join(mixed, "token"), "mixed")
-    minor = mixed.where("root <> top").select("token", F.col("hi").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("pos").alias("x_pos"))
-    across = (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("top")) | (F.col("x") < F.col("hi")))
-    more = minor.join(mixed, "token").where(across & near("n", "pos", "x_n", "x_pos"))
-    more = more.select(F.least("x", "hi").alias("a"), F.greatest("x", "hi").alias("b")).distinct()
+    minor = mixed.where("root <> top").select("token", F.col("root").alias("x_root"), *the("x"))
+    across = (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("top")) | (F.col("x_hi") < F.col("hi")))
+    more = minor.join(mixed, "token").where(across & near("x"))
+    more = more.select(F.least("x_hi", "hi").alias("a"), F.greatest("x_hi", "hi").alias("b")).distinct()
     more = written(more.join(first, ["a", "b"], "left_anti"), "pairs")
     return links.union(_verified(df, text, n, rule, more))
 
@@ -314,7 +346,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num
     documents = heads.where("kind = 0")
     top = heads.where("kind = 1").groupBy(F.col("hi").alias("token")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "token").limit(HEAVY_TOKENS).toPandas()
     order = spark.sparkContext.broadcast(Order(top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)))
-    nodes = written(documents.where("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("key").alias("least")), "nodes")
+    nodes = written(documents.where("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("key").alias("least"), *(F.first(b).alias(b) for b in PARITY)), "nodes")
     sizes = {r["n"]: r["c"] for r in nodes.where(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     most_light = boundary(rule, sizes)
     least, lists = rule.least_partner(most_light + 1), F.col("pos").isNotNull()
@@ -325,7 +357,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num
         top = pd.concat([top, long]).groupby("token", as_index=False)["c"].max()
         order = spark.sparkContext.broadcast(Order(top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)))
         postings = written(_postings(df, text, n, rule, order, least, most_light), "postings")
-    links = _heavy_links(df, text, n, rule, postings.where(lists).select("token", "hi", "n", "pos"))
+    links = _heavy_links(df, text, n, rule, postings.where(lists).select("token", "hi", "n", "pos"), nodes)
     light = _light_links(postings.where("pos is null").select("token", "token2", "hi", F.col("n").alias("side")))
     roots = components(links.union(light))
     labelled = nodes.join(roots.select(F.col("node").alias("hi"), "root"), "hi", "left").withColumn("root", F.coalesce("root", "hi"))
