@@ -10,7 +10,8 @@ partner size, and equal subsets link their owners without further checks.
 Heavy side. Larger sets are found through inverted lists. A list need only hold
 a set's first s - ceil(num s / den) + 1 shingles in a global order, rare ones
 first: linked sets meet in one of these, and there the shingles that remain in
-both must be c(a, b) at least. The lists are scanned in two rounds, so that no
+both must be c(a, b) at least. Lists of two nodes are pairs as they are. Longer
+lists are scanned in two rounds, so that no
 group emits all its pairs: first every member against two hubs of its list, one
 of them the member with the fewest rarer shingles of its own, which of a group of
 copies is the least changed one; then, with the components of the verified links
@@ -46,7 +47,6 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,8 +59,6 @@ from .textscan import SPACED_LOWER, Block, blocks, mix, sequence_hashes
 STRETCH = 1_000_000
 HEAVY_TOKENS = 1 << 18
 SCAN_COST = 16
-#: Shingles whose lists are longer in a first dealing come last in the order of the second.
-LONG_LIST = 24
 #: Sets beyond this size are never enumerated, whatever the costs.
 LARGEST_LIGHT = 24
 PARITY_WORDS = 4
@@ -309,24 +307,32 @@ def _light_links(subsets: DataFrame) -> DataFrame:
 
 def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links of nodes (hi and bitmap) that meet in inverted lists (token, hi, n, pos)."""
-    # places first, then nodes, in one number; equal numbers only make more hubs
-    place = F.expr("(least(pos, 262143) * 17592186044416L) | shiftrightunsigned(hi, 20)")
-    shared = lists.groupBy("token").agg(F.min("hi").alias("low"), F.max("hi").alias("other"), F.min(place).alias("hub")).where("low <> other").drop("low")
+    shared = written(lists.groupBy("token").agg(F.min("hi").alias("a"), F.max("hi").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b"), "shared")
+    bits = nodes.select("hi", *PARITY)
     # dealt by node for the bitmaps, which serves the distinct rows as well
-    met = written(lists.join(shared, "token").join(nodes.select("hi", *PARITY), "hi").distinct(), "lists")
+    met = written(lists.join(shared.where("k > 2").select("token"), "token").join(bits, "hi").distinct(), "lists")
     the = lambda what: [F.col(c).alias(f"{what}_{c}") for c in ("hi", "n", "pos", *PARITY)]
-    hubs = met.where((place == F.col("hub")) | (F.col("hi") == F.col("other"))).select("token", *the("hub"))
+
+    def alike(what: str) -> Column:
+        a, b = F.col("n"), F.col(f"{what}_n")
+        differing = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{what}_{w}"))) for w in PARITY]
+        return rule.near_sizes(a, b) & rule.alike(a, b, sum(differing[1:], differing[0]))
 
     def near(what: str) -> Column:
-        a, i, b, j = map(F.col, ("n", "pos", f"{what}_n", f"{what}_pos"))
-        differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{what}_{w}"))) for w in PARITY[1:]), F.bit_count(F.col(PARITY[0]).bitwiseXOR(F.col(f"{what}_{PARITY[0]}"))))
-        return rule.near_sizes(a, b) & rule.enough(a, i, b, j) & rule.alike(a, b, differing)
+        return alike(what) & rule.enough(F.col("n"), F.col("pos"), F.col(f"{what}_n"), F.col(f"{what}_pos"))
 
+    # places first, then nodes, in one number; equal numbers only make more hubs
+    place = F.expr("(least(pos, 262143) * 17592186044416L) | shiftrightunsigned(hi, 20)")
+    marks = met.groupBy("token").agg(F.min(place).alias("hub"), F.max("hi").alias("other"))
+    hubs = met.join(marks, "token").where((place == F.col("hub")) | (F.col("hi") == F.col("other"))).select("token", *the("hub"))
     starred = met.join(hubs, "token").where((F.col("hi") != F.col("hub_hi")) & near("hub"))
-    first = written(starred.select(F.least("hi", "hub_hi").alias("a"), F.greatest("hi", "hub_hi").alias("b")).distinct(), "pairs")
+    sized = nodes.select("hi", "n", *PARITY)
+    other = sized.select(F.col("hi").alias("b"), F.col("n").alias("b_n"), *(F.col(w).alias(f"b_{w}") for w in PARITY))
+    twos = shared.where("k = 2").select("a", "b").distinct().join(sized.withColumnRenamed("hi", "a"), "a").join(other, "b").where(alike("b"))
+    first = written(starred.select(F.least("hi", "hub_hi").alias("a"), F.greatest("hi", "hub_hi").alias("b")).union(twos.select("a", "b")).distinct(), "pairs")
     links = _verified(df, text, n, rule, first)
     labels = components(links.select(F.col("a"), F.col("b")))
-    labelled = met.drop("hub", "other").join(labels.select(F.col("node").alias("hi"), "root"), "hi", "left").withColumn("root", F.coalesce("root", "hi"))
+    labelled = met.join(labels.select(F.col("node").alias("hi"), "root"), "hi", "left").withColumn("root", F.coalesce("root", "hi"))
     labelled = written(labelled, "labelled")
     by = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = by.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("top.root").alias("top"))
@@ -351,12 +357,6 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num
     most_light = boundary(rule, sizes)
     least, lists = rule.least_partner(most_light + 1), F.col("pos").isNotNull()
     postings = written(_postings(df, text, n, rule, order, least, most_light), "postings")
-    # lists that turn out long: their shingles come last as well
-    long = postings.where(lists).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > LONG_LIST).orderBy(F.desc("c"), "token").limit(HEAVY_TOKENS).toPandas()
-    if len(long):
-        top = pd.concat([top, long]).groupby("token", as_index=False)["c"].max()
-        order = spark.sparkContext.broadcast(Order(top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)))
-        postings = written(_postings(df, text, n, rule, order, least, most_light), "postings")
     links = _heavy_links(df, text, n, rule, postings.where(lists).select("token", "hi", "n", "pos"), nodes)
     light = _light_links(postings.where("pos is null").select("token", "token2", "hi", F.col("n").alias("side")))
     roots = components(links.union(light))
