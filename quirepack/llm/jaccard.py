@@ -63,7 +63,7 @@ SCAN_COST = 16
 LARGEST_LIGHT = 24
 PARITY_WORDS = 4
 PARITY = tuple(f"b{i}" for i in range(PARITY_WORDS))
-#: Nodes whose ids are broadcast to pick out the sets to verify: 32 MB; beyond, they are joined.
+#: Ids that are broadcast to pick out sets to verify and lists to scan: 32 MB; beyond, they are joined.
 MAX_BROADCAST_NODES = 2_000_000
 _ONE, _TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
@@ -309,8 +309,11 @@ def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, lists: DataFrame,
     """Links of nodes (hi and bitmap) that meet in inverted lists (token, hi, n, pos)."""
     shared = written(lists.groupBy("token").agg(F.min("hi").alias("a"), F.max("hi").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b"), "shared")
     bits = nodes.select("hi", *PARITY)
+    # while few lists are longer than two, their shingles are broadcast and the others' postings not dealt out again
+    long = shared.where("k > 2").select("token")
+    few = long.count() <= MAX_BROADCAST_NODES
     # dealt by node for the bitmaps, which serves the distinct rows as well
-    met = written(lists.join(shared.where("k > 2").select("token"), "token").join(bits, "hi").distinct(), "lists")
+    met = written(lists.join(F.broadcast(long) if few else long, "token").join(bits, "hi").distinct(), "lists")
     the = lambda what: [F.col(c).alias(f"{what}_{c}") for c in ("hi", "n", "pos", *PARITY)]
 
     def alike(what: str) -> Column:
