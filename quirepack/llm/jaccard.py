@@ -21,7 +21,8 @@ in another component. Each candidate pair is verified on the whole sets.
 Before that, parity bitmaps sort pairs out without the sets: each shingle flips one
 of PARITY_WORDS * 64 bits of its node, so two nodes' bitmaps differ in no more bits
 than their sets have shingles that only one of them has. Pairs that differ in more
-than a link allows are no links; nothing else is left out.
+than a link allows are no links; nothing else is left out. Lists carry bitmaps
+folded to FOLDED words; distinct pairs are then held against the whole ones.
 
 The size at which sets change sides is chosen by cost: what enumeration would emit
 against what lists would cost for the sizes that are there (SCAN_COST a posting).
@@ -61,8 +62,9 @@ HEAVY_TOKENS = 1 << 18
 SCAN_COST = 16
 #: Sets beyond this size are never enumerated, whatever the costs.
 LARGEST_LIGHT = 24
-PARITY_WORDS = 4
+PARITY_WORDS, FOLDED = 16, 4
 PARITY = tuple(f"b{i}" for i in range(PARITY_WORDS))
+FOLDS = tuple(f"f{i}" for i in range(FOLDED))
 #: Ids that are broadcast to pick out sets to verify and lists to scan: 32 MB; beyond, they are joined.
 MAX_BROADCAST_NODES = 2_000_000
 _ONE, _TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -134,9 +136,11 @@ class Rule:
         """Whether sets of sizes a and b, met at places i and j, can still have enough in common."""
         return F.least(a - i, b - j) * (self.num + self.den) >= self.num * (a + b)
 
-    def alike(self, a: Column, b: Column, differing: Column) -> Column:
-        """Whether sets of sizes a and b whose bitmaps differ in so many bits can be linked."""
-        return differing * (self.num + self.den) <= (self.den - self.num) * (a + b)
+    def alike(self, what: str, words: tuple[str, ...]) -> Column:
+        """Whether the sets of sizes n and {what}_n and with these bitmaps can be linked."""
+        a, b = F.col("n"), F.col(f"{what}_n")
+        first, *rest = (F.bit_count(F.col(w).bitwiseXOR(F.col(f"{what}_{w}"))) for w in words)
+        return self.near_sizes(a, b) & (sum(rest, first) * (self.num + self.den) <= (self.den - self.num) * (a + b))
 
 
 def partner_sizes(rule: Rule, s: int, most: int) -> list[int]:
@@ -273,8 +277,14 @@ def _sets(df: DataFrame, text: str, n: int, needed: DataFrame) -> DataFrame:
     return every.join(F.broadcast(needed) if few else needed, "hi", "left_semi").groupBy("hi").agg(F.first("tokens").alias("tokens"))
 
 
-def _verified(df: DataFrame, text: str, n: int, rule: Rule, pairs: DataFrame) -> DataFrame:
+def _named(what: str, columns: tuple[str, ...]) -> list[Column]:
+    return [F.col(c).alias(f"{what}_{c}") for c in columns]
+
+
+def _verified(df: DataFrame, text: str, n: int, rule: Rule, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of the distinct pairs (a, b) of nodes that are links."""
+    one, other = nodes.select(F.col("hi").alias("a"), "n", *PARITY), nodes.select(F.col("hi").alias("b"), *_named("b", ("n", *PARITY)))
+    pairs = written(pairs.join(one, "a").join(other, "b").where(rule.alike("b", PARITY)).select("a", "b"), "alike")
     needed = written(pairs.select(F.col("a").alias("hi")).union(pairs.select("b")).distinct(), "nodes")
     sets = _sets(df, text, n, needed)
     both = pairs.join(sets.select(F.col("hi").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("hi").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -308,44 +318,37 @@ def _light_links(subsets: DataFrame) -> DataFrame:
 def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links of nodes (hi and bitmap) that meet in inverted lists (token, hi, n, pos)."""
     shared = written(lists.groupBy("token").agg(F.min("hi").alias("a"), F.max("hi").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b"), "shared")
-    bits = nodes.select("hi", *PARITY)
+    folded = [F.expr(" ^ ".join(PARITY[i::FOLDED])).alias(f) for i, f in enumerate(FOLDS)]
     # while few lists are longer than two, their shingles are broadcast and the others' postings not dealt out again
     long = shared.where("k > 2").select("token")
     few = long.count() <= MAX_BROADCAST_NODES
     # dealt by node for the bitmaps, which serves the distinct rows as well
-    met = written(lists.join(F.broadcast(long) if few else long, "token").join(bits, "hi").distinct(), "lists")
-    the = lambda what: [F.col(c).alias(f"{what}_{c}") for c in ("hi", "n", "pos", *PARITY)]
-
-    def alike(what: str) -> Column:
-        a, b = F.col("n"), F.col(f"{what}_n")
-        differing = [F.bit_count(F.col(w).bitwiseXOR(F.col(f"{what}_{w}"))) for w in PARITY]
-        return rule.near_sizes(a, b) & rule.alike(a, b, sum(differing[1:], differing[0]))
+    met = written(lists.join(F.broadcast(long) if few else long, "token").join(nodes.select("hi", *folded), "hi").distinct(), "lists")
+    carried = ("hi", "n", "pos", *FOLDS)
 
     def near(what: str) -> Column:
-        return alike(what) & rule.enough(F.col("n"), F.col("pos"), F.col(f"{what}_n"), F.col(f"{what}_pos"))
+        return rule.alike(what, FOLDS) & rule.enough(F.col("n"), F.col("pos"), F.col(f"{what}_n"), F.col(f"{what}_pos"))
 
     # places first, then nodes, in one number; equal numbers only make more hubs
     place = F.expr("(least(pos, 262143) * 17592186044416L) | shiftrightunsigned(hi, 20)")
     marks = met.groupBy("token").agg(F.min(place).alias("hub"), F.max("hi").alias("other"))
-    hubs = met.join(marks, "token").where((place == F.col("hub")) | (F.col("hi") == F.col("other"))).select("token", *the("hub"))
+    hubs = met.join(marks, "token").where((place == F.col("hub")) | (F.col("hi") == F.col("other"))).select("token", *_named("hub", carried))
     starred = met.join(hubs, "token").where((F.col("hi") != F.col("hub_hi")) & near("hub"))
-    sized = nodes.select("hi", "n", *PARITY)
-    other = sized.select(F.col("hi").alias("b"), F.col("n").alias("b_n"), *(F.col(w).alias(f"b_{w}") for w in PARITY))
-    twos = shared.where("k = 2").select("a", "b").distinct().join(sized.withColumnRenamed("hi", "a"), "a").join(other, "b").where(alike("b"))
-    first = written(starred.select(F.least("hi", "hub_hi").alias("a"), F.greatest("hi", "hub_hi").alias("b")).union(twos.select("a", "b")).distinct(), "pairs")
-    links = _verified(df, text, n, rule, first)
+    twos = shared.where("k = 2").select("a", "b")
+    first = written(starred.select(F.least("hi", "hub_hi").alias("a"), F.greatest("hi", "hub_hi").alias("b")).union(twos).distinct(), "pairs")
+    links = _verified(df, text, n, rule, first, nodes)
     labels = components(links.select(F.col("a"), F.col("b")))
     labelled = met.join(labels.select(F.col("node").alias("hi"), "root"), "hi", "left").withColumn("root", F.coalesce("root", "hi"))
     labelled = written(labelled, "labelled")
     by = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
     mixed = by.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("top.root").alias("top"))
     mixed = written(labelled.join(mixed, "token"), "mixed")
-    minor = mixed.where("root <> top").select("token", F.col("root").alias("x_root"), *the("x"))
+    minor = mixed.where("root <> top").select("token", F.col("root").alias("x_root"), *_named("x", carried))
     across = (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("top")) | (F.col("x_hi") < F.col("hi")))
     more = minor.join(mixed, "token").where(across & near("x"))
     more = more.select(F.least("x_hi", "hi").alias("a"), F.greatest("x_hi", "hi").alias("b")).distinct()
     more = written(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    return links.union(_verified(df, text, n, rule, more))
+    return links.union(_verified(df, text, n, rule, more, nodes))
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
