@@ -133,3 +133,22 @@ def test_outliers_are_rejected(spark):
     rows += [(900 + i, " ".join(f"w{k}###$$$%%%" for k in range(80)), "en", "s") for i in range(5)]
     kept = {r["doc_id"] for r in quality.op10(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
     assert kept == set(range(200))
+
+
+def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets():
+    import numpy as np
+
+    from quirepack.llm.jaccard import FOLDED, parities
+
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 2**64 - 1, 400, dtype=np.uint64, endpoint=True)
+    sets = [np.sort(rng.choice(pool, k, replace=False)) for k in (0, 1, 5, 60, 200, 350)]
+    words = [x.view(np.uint64).tolist() for x in parities(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])))]
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            apart = len(set(x.tolist()) ^ set(y.tolist()))
+            whole = [w[i] ^ w[j] for w in words]
+            folded = [0] * FOLDED
+            for k, w in enumerate(whole):
+                folded[k % FOLDED] ^= w
+            assert sum(w.bit_count() for w in folded) <= sum(w.bit_count() for w in whole) <= apart
