@@ -65,8 +65,10 @@ LARGEST_LIGHT = 24
 PARITY_WORDS, FOLDED = 16, 4
 PARITY = tuple(f"b{i}" for i in range(PARITY_WORDS))
 FOLDS = tuple(f"f{i}" for i in range(FOLDED))
-#: Ids that are broadcast to pick out sets to verify and lists to scan: 32 MB; beyond, they are joined.
+#: Nodes whose ids are broadcast to pick out the sets to verify: 256 MB at about 128 bytes a row; beyond, they are joined.
 MAX_BROADCAST_NODES = 2_000_000
+#: The same for the shingles of lists to scan: 64 MB.
+MAX_BROADCAST_LISTS = 500_000
 _ONE, _TWO = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -321,7 +323,7 @@ def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, lists: DataFrame,
     folded = [F.expr(" ^ ".join(PARITY[i::FOLDED])).alias(f) for i, f in enumerate(FOLDS)]
     # while few lists are longer than two, their shingles are broadcast and the others' postings not dealt out again
     long = shared.where("k > 2").select("token")
-    few = long.count() <= MAX_BROADCAST_NODES
+    few = long.count() <= MAX_BROADCAST_LISTS
     # dealt by node for the bitmaps, which serves the distinct rows as well
     met = written(lists.join(F.broadcast(long) if few else long, "token").join(nodes.select("hi", *folded), "hi").distinct(), "lists")
     carried = ("hi", "n", "pos", *FOLDS)
