@@ -2,9 +2,12 @@
 
 Base statistics are computed inside each row with array functions, without a
 shuffle. Their transformed vectors are then judged against a minimum covariance
-determinant (MCD) estimate of their language and source: concentration steps
-start from medians and median absolute deviations, each step keeps the h = 75 %
-of the rows nearest to the last estimate, and the final mean and covariance give
+determinant (MCD) estimate of their language and source. Equal vectors count once
+there, so copies of one text, however many, have the weight of one. Concentration
+steps start from lower quartiles, medians and upper quartiles, each with the median
+absolute deviations from it, and keep the nearer half of the vectors; after
+SEARCH_STEPS the start of the least determinant goes on alone. The vectors within
+the RIM quantile of that estimate give the final mean and covariance, and these
 every row its Mahalanobis distance. Only DataFrame and SQL functions are used.
 
 Transformed statistics are whole thousandths and distances are ranked in fixed
@@ -12,8 +15,8 @@ bins, so medians and h-subsets come from exact, bounded histograms, sums are
 exact decimals, and results do not depend on how rows are dealt to tasks.
 
 Nulls: a null text has no words and fails the base rules; null languages and
-sources form groups of their own. Groups of fewer than MIN_GROUP usable rows have
-no estimate: the base rules alone decide there. Repeated rows are judged alike.
+sources form groups of their own. Groups of fewer than MIN_GROUP distinct vectors
+have no estimate: the base rules alone decide there. Repeated rows are judged alike.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ from .shared import cut
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_GROUP = 60
-COVERAGE = 0.75
+#: Near (n + p + 1) / 2 of n vectors, which withstands the largest share of outliers.
+COVERAGE = 0.5
+STARTS = (0.25, 0.5, 0.75)
+SEARCH_STEPS = 3
 STEPS = 6
+RIM = 0.975
 #: Largest squared distance, in units of the estimate, that is kept.
 CUTOFF = 400.0
 #: Up to so many (language, source) estimates are broadcast: about 40 MB; beyond, they are joined.
@@ -96,13 +103,18 @@ def _incomplete_gamma(a: float, x: float) -> float:
     return total * math.exp(a * math.log(x) - x - math.lgamma(a))
 
 
-def consistency(coverage: float, p: int) -> float:
-    """The factor that makes the covariance of the nearest share of normal rows that of all rows."""
+def chi_square(share: float, p: int) -> float:
+    """The quantile of the chi-square distribution of p degrees of freedom."""
     low, high = 0.0, 1000.0
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if _incomplete_gamma(p / 2, mid / 2) < coverage else (low, mid)
-    return coverage / _incomplete_gamma(p / 2 + 1, low / 2)
+        low, high = (mid, high) if _incomplete_gamma(p / 2, mid / 2) < share else (low, mid)
+    return low
+
+
+def consistency(coverage: float, p: int) -> float:
+    """The factor that makes the covariance of the nearest share of normal rows that of all rows."""
+    return coverage / _incomplete_gamma(p / 2 + 1, chi_square(coverage, p) / 2)
 
 
 def _cholesky(cov: dict[tuple[int, int], Column], centre: list[Column], p: int) -> dict[str, Column]:
@@ -120,11 +132,14 @@ def _factored(groups: DataFrame, p: int) -> DataFrame:
     return groups.drop(*(f"c_{i}_{j}" for i in range(p) for j in range(i + 1)))
 
 
-def with_distance(rows: DataFrame, model: DataFrame, keys: list[str], count: int) -> DataFrame:
-    """Adds the squared Mahalanobis distance d2 from the estimate of the row's group; null where there is none."""
+def with_distance(rows: DataFrame, model: DataFrame, keys: list[str], count: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Adds the squared Mahalanobis distance d2 from the estimate of the row's group; null where there is none.
+
+    A group of several estimates gives one row for each; more: columns of the model to add.
+    """
     p = len(FEATURES)
     names = [f"__g{i}" for i in range(len(keys))]
-    own = model.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)))
+    own = model.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *more, *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)))
     on = [rows[k].eqNullSafe(own[n]) for k, n in zip(keys, names)]
     out = rows.join(F.broadcast(own) if count <= MAX_BROADCAST_GROUPS else own, on, "left")
     for i in range(p):
@@ -136,39 +151,69 @@ def with_distance(rows: DataFrame, model: DataFrame, keys: list[str], count: int
     return out.withColumn("d2", d2).drop(*names, *(f"__z{i}" for i in range(p)), *(f"m_{i}" for i in range(p)), *(f"l_{i}_{j}" for i in range(p) for j in range(i + 1)))
 
 
-def fit(rows: DataFrame, keys: list[str], steps: int = STEPS) -> tuple[DataFrame, int]:
-    """MCD estimates per group from rows with the keys and FEATURES, and their number.
+def _estimate(kept: DataFrame, keys: list[str], coverage: float) -> DataFrame:
+    """Mean and covariance of each group's rows, which are the nearest share of it."""
+    p, whole, scale = len(FEATURES), "decimal(38,0)", consistency(coverage, len(FEATURES))
+    sums = [F.sum(F.col(f).cast("decimal(18,0)")).cast(whole).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
+    sums += [F.sum((F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("decimal(18,0)")).cast(whole).alias(f"q_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    moments = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *sums)
+    n = F.col("__n").cast("double")
+    mean = [F.col(f"s_{i}").cast("double") / n for i in range(p)]
+    cov = {(i, j): (F.col(f"q_{i}_{j}").cast("double") / n - mean[i] * mean[j]) * scale + (float(FLOORS[i]) ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
+    return cut(_factored(moments.select(*keys, *(c.alias(k) for k, c in _cholesky(cov, mean, p).items())), p))
+
+
+def _starts(vectors: DataFrame, sizes: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """The first estimates of each group, numbered by __start."""
+    p, names = len(FEATURES), [f"__k{i}" for i in range(len(keys))]
+    same = lambda own: [vectors[k].eqNullSafe(own[n]) for k, n in zip(keys, names)]
+    small = lambda df: F.broadcast(df) if count <= MAX_BROADCAST_GROUPS else df
+    own = sizes.select(*(F.col(k).alias(n) for k, n in zip(keys, names)))
+    centres = vectors.join(small(own), same(own), "left_semi").groupBy(*keys).agg(*(F.percentile(f, F.array(*map(F.lit, STARTS))).alias(f"m_{i}") for i, f in enumerate(FEATURES)))
+    own = cut(centres).select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *(f"m_{i}" for i in range(p)))
+    near = vectors.join(small(own), same(own))
+    spreads = [F.percentile(F.abs(F.col(f) - F.col(f"m_{i}")[s]), F.lit(0.5)).alias(f"s_{i}_{s}") for i, f in enumerate(FEATURES) for s in range(len(STARTS))]
+    spread = near.groupBy(*keys).agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)), *spreads)
+    # uncorrelated: the factor is diagonal
+    factor = lambda s: [(F.greatest(1.4826 * F.col(f"s_{i}_{s}"), F.lit(float(FLOORS[i]))) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(p) for j in range(i + 1)]
+    each = [F.struct(F.lit(s).alias("__start"), *(F.col(f"m_{i}")[s].alias(f"m_{i}") for i in range(p)), *factor(s)) for s in range(len(STARTS))]
+    return cut(spread.select(*keys, F.inline(F.array(*each))))
+
+
+def _concentrated(vectors: DataFrame, model: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """The estimates of the vectors nearest to the last ones of their group and start."""
+    # ranked in fixed bins: the smallest one that at least the coverage of a group's vectors do not exceed
+    own, names = [*keys, "__start"], [f"__k{i}" for i in range(len(keys) + 1)]
+    binned = with_distance(vectors, model, keys, count, ("__start",)).where("d2 is not null").withColumn("__bin", F.floor(256 * F.log1p("d2")))
+    limit = cut(binned.groupBy(*own).agg(F.ceil(F.percentile("__bin", F.lit(COVERAGE))).alias("__limit")))
+    edge = limit.select(*(F.col(k).alias(n) for k, n in zip(own, names)), "__limit")
+    kept = binned.join(F.broadcast(edge) if count <= MAX_BROADCAST_GROUPS else edge, [binned[k].eqNullSafe(edge[n]) for k, n in zip(own, names)]).where("__bin <= __limit")
+    return _estimate(kept, own, COVERAGE)
+
+
+def _least(model: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group's estimate of the least determinant."""
+    p = len(FEATURES)
+    rest = [c for c in model.columns if c not in keys]
+    size = sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, p)), F.log(F.col("l_0_0")))
+    return cut(model.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(size, F.col("__start"))).alias("b")).select(*keys, "b.*"))
 
-    rows should be cut (checkpointed) already: they are read twice a step.
-    """
+
+def fit(rows: DataFrame, keys: list[str], steps: int = STEPS) -> tuple[DataFrame, int]:
+    """MCD estimates per group from rows with the keys and FEATURES, and their number."""
     p = len(FEATURES)
-    half = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *(F.percentile(f, F.lit(0.5)).alias(f"m_{i}") for i, f in enumerate(FEATURES))).where(F.col("__n") >= MIN_GROUP)
-    half = cut(half)
-    count = half.count()
+    vectors = cut(rows.select(*keys, *FEATURES).distinct())
+    sizes = cut(vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= MIN_GROUP))
+    count = sizes.count()
     if not count:
-        return _factored(half.withColumns({f"c_{i}_{j}": F.lit(1.0) for i in range(p) for j in range(i + 1)}), p), 0
-    names = [f"__k{i}" for i in range(len(keys))]
-    own = half.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), *(f"m_{i}" for i in range(p)))
-    near = rows.join(F.broadcast(own) if count <= MAX_BROADCAST_GROUPS else own, [rows[k].eqNullSafe(own[n]) for k, n in zip(keys, names)])
-    spread = near.groupBy(*keys).agg(*(F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)), *(F.percentile(F.abs(F.col(f) - F.col(f"m_{i}")), F.lit(0.5)).alias(f"s_{i}") for i, f in enumerate(FEATURES)))
-    start = {f"c_{i}_{j}": (F.pow(F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(float(FLOORS[i]))), F.lit(2.0)) if i == j else F.lit(0.0)) for i in range(p) for j in range(i + 1)}
-    model = cut(_factored(spread.withColumns(start), p))
-    scale = consistency(COVERAGE, p)
-    whole = "decimal(38,0)"
-    for _ in range(steps):
-        binned = with_distance(rows, model, keys, count).where("d2 is not null").withColumn("__bin", F.floor(256 * F.log1p("d2")))
-        # smallest bin that at least the coverage of a group's rows do not exceed
-        limit = cut(binned.groupBy(*keys).agg(F.ceil(F.percentile("__bin", F.lit(COVERAGE))).alias("__limit")))
-        edge = limit.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), "__limit")
-        kept = binned.join(F.broadcast(edge) if count <= MAX_BROADCAST_GROUPS else edge, [binned[k].eqNullSafe(edge[n]) for k, n in zip(keys, names)]).where("__bin <= __limit")
-        sums = [F.sum(F.col(f).cast("decimal(18,0)")).cast(whole).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
-        sums += [F.sum((F.col(FEATURES[i]) * F.col(FEATURES[j])).cast("decimal(18,0)")).cast(whole).alias(f"q_{i}_{j}") for i in range(p) for j in range(i + 1)]
-        moments = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *sums)
-        n = F.col("__n").cast("double")
-        mean = [F.col(f"s_{i}").cast("double") / n for i in range(p)]
-        cov = {(i, j): (F.col(f"q_{i}_{j}").cast("double") / n - mean[i] * mean[j]) * scale + (float(FLOORS[i]) ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
-        model = cut(_factored(moments.select(*keys, *(c.alias(k) for k, c in _cholesky(cov, mean, p).items())), p))
-    return model, count
+        return _factored(sizes.withColumns({f"m_{i}": F.lit(0.0) for i in range(p)} | {f"c_{i}_{j}": F.lit(1.0) for i in range(p) for j in range(i + 1)}), p), 0
+    model = _starts(vectors, sizes, keys, count)
+    for step in range(steps):
+        if step == SEARCH_STEPS:
+            model = _least(model, keys)
+        model = _concentrated(vectors, model, keys, count)
+    inner = with_distance(vectors, _least(model, keys), keys, count).where(F.col("d2") <= chi_square(RIM, p))
+    return _estimate(inner, keys, RIM), count
 
 
 def judge(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, fitted: DataFrame | None = None) -> DataFrame:
@@ -178,7 +223,7 @@ def judge(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "s
     """
     rows = with_features(with_statistics(df, text) if fitted is None else fitted)
     usable = rows.where(~F.col("base_failed")).select(*keys, *FEATURES)
-    model, count = fit(cut(usable), list(keys))
+    model, count = fit(usable, list(keys))
     far = F.coalesce(F.col("d2") > cutoff, F.lit(False))
     return with_distance(rows, model, list(keys), count).withColumn("kept", ~F.col("base_failed") & ~far).drop(*FEATURES)
 

@@ -135,6 +135,16 @@ def test_outliers_are_rejected(spark):
     assert kept == set(range(200))
 
 
+def test_copies_of_junk_do_not_mask_outliers(spark):
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 997}" + "x" * (k < i % 60) for k in range(60 + i % 40)), "en", "s") for i in range(120)]
+    rows += [(900 + i, " ".join(f"w{k}###$$$%%%" for k in range(80)), "en", "s") for i in range(65)]
+    rows += [(990 + i, " ".join(f"v{k}{'#' * (9 + i)}" for k in range(70 + i)), "en", "s") for i in range(6)]
+    rows += [(2000 + i, " ".join(f"word{(i * 7 + k) % 997}" + "x" * (k < i % 60) for k in range(60 + i % 40)), "en", "t") for i in range(120)]
+    rows += [(2900 + i, " ".join(f"v{k}" + "#" * (2 + (k + i) % 3) for k in range(60 + i % 35)), "en", "t") for i in range(80)]
+    kept = {r["doc_id"] for r in quality.op10(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+    assert kept == {*range(120), *range(2000, 2120)}
+
+
 def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets():
     import numpy as np
 
