@@ -37,8 +37,9 @@ STARTS = (0.25, 0.5, 0.75)
 SEARCH_STEPS = 3
 STEPS = 6
 RIM = 0.975
-#: Largest squared distance, in units of the estimate, that is kept.
-CUTOFF = 400.0
+#: Largest squared distance that is kept: this quantile of the chi-square distribution (20.5) times MARGIN, as lengths
+#: and shares have heavier tails than normal ones. 4.5 lies in the gap of the 0.1 tables (see the README).
+QUANTILE, MARGIN = 0.999, 4.5
 #: Up to so many (language, source) estimates are broadcast: about 40 MB; beyond, they are joined.
 MAX_BROADCAST_GROUPS = 100_000
 FEATURES = ("f_length", "f_word", "f_symbol", "f_line", "f_repeat")
@@ -216,7 +217,7 @@ def fit(rows: DataFrame, keys: list[str], steps: int = STEPS) -> tuple[DataFrame
     return _estimate(inner, keys, RIM), count
 
 
-def judge(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, fitted: DataFrame | None = None) -> DataFrame:
+def judge(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "source"), cutoff: float | None = None, fitted: DataFrame | None = None) -> DataFrame:
     """The rows of df with their statistics, base_failed, d2 and kept.
 
     fitted: rows with statistics already computed, where the caller has them.
@@ -224,7 +225,7 @@ def judge(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "s
     rows = with_features(with_statistics(df, text) if fitted is None else fitted)
     usable = rows.where(~F.col("base_failed")).select(*keys, *FEATURES)
     model, count = fit(usable, list(keys))
-    far = F.coalesce(F.col("d2") > cutoff, F.lit(False))
+    far = F.coalesce(F.col("d2") > (MARGIN * chi_square(QUANTILE, len(FEATURES)) if cutoff is None else cutoff), F.lit(False))
     return with_distance(rows, model, list(keys), count).withColumn("kept", ~F.col("base_failed") & ~far).drop(*FEATURES)
 
 

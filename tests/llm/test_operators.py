@@ -145,6 +145,15 @@ def test_copies_of_junk_do_not_mask_outliers(spark):
     assert kept == {*range(120), *range(2000, 2120)}
 
 
+def test_moderate_symbols_and_table_junk_are_rejected(spark):
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 997}" + "x" * (k < i % 60) for k in range(60 + i % 40)), "en", "s") for i in range(200)]
+    rows += [(900 + i, " ".join(f"word{(i * 7 + k) % 997}" + "#" * (k % 2) for k in range(70 + i)), "en", "s") for i in range(5)]
+    rows += [(950 + i, "\n".join(f"cell{i * 7 + k} row{k} |" for k in range(40 + i)), "en", "s") for i in range(5)]
+    got = {r["doc_id"]: r for r in quality.op10(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i for i, r in got.items() if r["kept"]} == set(range(200))
+    assert all(92 < r["d2"] < 400 for i, r in got.items() if i >= 900)
+
+
 def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets():
     import numpy as np
 
