@@ -11,6 +11,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
+from .shared import freed
+
 
 def with_columns(df: DataFrame, fields: Sequence[StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """df with columns computed from whole Arrow batches; columns of the same names are replaced."""
@@ -21,6 +23,7 @@ def with_columns(df: DataFrame, fields: Sequence[StructField], compute: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names=schema.names)
+        freed()
 
     return df.mapInArrow(run, schema)
 

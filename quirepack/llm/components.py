@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import spent, written
 
 MAX_ROUNDS = 60
 
@@ -37,7 +37,9 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        edges = written(_stars(written(_stars(edges, True), "edges"), False), "edges")
+        wide = written(_stars(edges, True), "edges")
+        last, edges = edges, written(_stars(wide, False), "edges")
+        spent(wide, last)
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

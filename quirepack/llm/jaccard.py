@@ -12,17 +12,24 @@ a set's first s - ceil(num s / den) + 1 shingles in a global order, rare ones
 first: linked sets meet in one of these, and there the shingles that remain in
 both must be c(a, b) at least. Lists of two nodes are pairs as they are. Longer
 lists are scanned in two rounds, so that no
-group emits all its pairs: first every member against two hubs of its list, one
+group emits all its pairs: first every member against up to three hubs of its list, one
 of them the member with the fewest rarer shingles of its own, which of a group of
 copies is the least changed one; then, with the components of the verified links
-known, members outside a list's largest component against those members that are
-in another component. Each candidate pair is verified on the whole sets.
+known and the hubs done, members outside a list's largest component against those
+members that are in another component. Each candidate pair is verified on the whole sets.
 
 Before that, parity bitmaps sort pairs out without the sets: each shingle flips one
-of PARITY_WORDS * 64 bits of its node, so two nodes' bitmaps differ in no more bits
-than their sets have shingles that only one of them has. Pairs that differ in more
-than a link allows are no links; nothing else is left out. Lists carry bitmaps
-folded to FOLDED words; distinct pairs are then held against the whole ones.
+bit of its node's bitmap, so two nodes' bitmaps differ in no more bits than their
+sets have shingles that only one of them has. Pairs that differ in more than a link
+allows are no links; nothing else is left out. A bitmap has a bit or two for each
+shingle, so it tells sets of any size apart at a sixty-fourth of their bytes; of two
+bitmaps the longer is folded to the shorter. Lists carry bitmaps folded to FOLDED
+words; distinct pairs are then held against the whole ones.
+
+In the second round members meet by list and class of sizes: sets that can be linked
+are in the same class or in neighbouring ones, so sets of other sizes are never
+compared, and a list of a very frequent shingle is dealt out by sizes. Tables that no
+later step reads are deleted.
 
 The size at which sets change sides is chosen by cost: what enumeration would emit
 against what lists would cost for the sizes that are there (SCAN_COST a posting).
@@ -44,7 +51,8 @@ sets. Columns of the input other than key and text are not read.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -54,7 +62,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .components import components
-from .shared import written
+from .shared import freed, spent, written
 from .textscan import SPACED_LOWER, Block, blocks, mix, sequence_hashes
 
 STRETCH = 1_000_000
@@ -62,8 +70,9 @@ HEAVY_TOKENS = 1 << 18
 SCAN_COST = 16
 #: Sets beyond this size are never enumerated, whatever the costs.
 LARGEST_LIGHT = 24
-PARITY_WORDS, FOLDED = 16, 4
-PARITY = tuple(f"b{i}" for i in range(PARITY_WORDS))
+#: Bits of the smallest bitmaps, all of which lists carry as FOLDED numbers.
+LEAST_BITS = 256
+FOLDED = LEAST_BITS // 64
 FOLDS = tuple(f"f{i}" for i in range(FOLDED))
 #: Nodes whose ids are broadcast to pick out the sets to verify: 256 MB at about 128 bytes a row; beyond, they are joined.
 MAX_BROADCAST_NODES = 2_000_000
@@ -105,15 +114,34 @@ def node_ids(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hi.view(np.int64), lo.view(np.int64)
 
 
-def parities(flat: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """The words of each set's parity bitmap."""
-    some = np.flatnonzero(np.diff(bounds))
-    word, bit = (flat >> np.uint64(6)) % np.uint64(PARITY_WORDS), np.uint64(1) << (flat & np.uint64(63))
-    out = [np.zeros(len(bounds) - 1, np.uint64) for _ in range(PARITY_WORDS)]
-    if len(some):
-        for k, x in enumerate(out):
-            x[some] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), bounds[some])
-    return [x.view(np.int64) for x in out]
+def bitmap_sizes(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the bitmaps of sets: the least power of two that is not below the size."""
+    bits = np.full(len(sizes), LEAST_BITS, np.int64)
+    while (short := bits < sizes).any():
+        bits[short] *= 2
+    return bits
+
+
+def _flipped(at: np.ndarray, bits: int) -> np.ndarray:
+    """A bitmap in which the bits at the given places are flipped, in bytes."""
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def parities(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets' bitmaps one after the other, their bounds in bytes, and their folds (FOLDED numbers a set)."""
+    counts = np.diff(bounds)
+    bits = bitmap_sizes(counts)
+    ends = np.append(0, np.cumsum(bits))
+    places = (flat & np.repeat(bits - 1, counts).astype(np.uint64)).astype(np.int64) + np.repeat(ends[:-1], counts)
+    folds = (flat & np.uint64(LEAST_BITS - 1)).astype(np.int64) + np.repeat(np.arange(len(counts)) * LEAST_BITS, counts)
+    return _flipped(places, int(ends[-1])), ends // 8, _flipped(folds, len(counts) * LEAST_BITS).view(np.int64).reshape(-1, FOLDED)
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """In how many bits two bitmaps differ, the longer one folded to the shorter."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
 class Rule:
@@ -138,12 +166,23 @@ class Rule:
         """Whether sets of sizes a and b, met at places i and j, can still have enough in common."""
         return F.least(a - i, b - j) * (self.num + self.den) >= self.num * (a + b)
 
-    def alike(self, what: str, words: tuple[str, ...]) -> Column:
-        """Whether the sets of sizes n and {what}_n and with these bitmaps can be linked."""
+    def alike(self, what: str) -> Column:
+        """Whether the sets of sizes n and {what}_n and with these folded bitmaps can be linked."""
         a, b = F.col("n"), F.col(f"{what}_n")
-        first, *rest = (F.bit_count(F.col(w).bitwiseXOR(F.col(f"{what}_{w}"))) for w in words)
+        first, *rest = (F.bit_count(F.col(w).bitwiseXOR(F.col(f"{what}_{w}"))) for w in FOLDS)
         return self.near_sizes(a, b) & (sum(rest, first) * (self.num + self.den) <= (self.den - self.num) * (a + b))
 
+    def most_apart(self, a: Column, b: Column) -> Column:
+        """How many shingles only one of two linked sets of sizes a and b can have. The link's rule says the same."""
+        return F.call_function("div", (self.den - self.num) * (a + b), F.lit(self.num + self.den).cast("long"))
+
+    def size_class(self, n: Column) -> Column:
+        """Sizes of linked sets are in the same class or in neighbouring ones."""
+        if self.num == self.den:
+            return n.cast("int")
+        # a little wider than the ratio, so that rounding never puts linked sizes further apart
+        return F.floor(F.log(n) / (math.log(self.den / self.num) * (1 + 1e-6))).cast("int")
+
 
 def partner_sizes(rule: Rule, s: int, most: int) -> list[int]:
     return [t for t in range(rule.least_partner(s), min(most, s * rule.den // rule.num) + 1) if rule.common(s, t) <= min(s, t)]
@@ -161,8 +200,8 @@ def boundary(rule: Rule, sizes: dict[int, int], scan_cost: float = SCAN_COST) ->
 
 
 def _heads(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """Rows of documents (kind 0: key, hi, lo, n and the parity bitmap) and of shingles seen more than once in a stretch (kind 1: hi as the shingle, n as its count)."""
-    schema = StructType([StructField("kind", IntegerType()), StructField("key", df.schema[key].dataType), StructField("hi", LongType()), StructField("lo", LongType()), StructField("n", LongType()), *(StructField(b, LongType()) for b in PARITY)])
+    """Rows of documents (kind 0: key, hi, lo, n, the parity bitmap and its folds) and of shingles seen more than once in a stretch (kind 1: hi as the shingle, n as its count)."""
+    schema = StructType([StructField("kind", IntegerType()), StructField("key", df.schema[key].dataType), StructField("hi", LongType()), StructField("lo", LongType()), StructField("n", LongType()), StructField("bits", BinaryType()), *(StructField(f, LongType()) for f in FOLDS)])
 
     def often(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -175,14 +214,16 @@ def _heads(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
         def shingle_rows() -> pa.RecordBatch:
             tokens, counts = often(held)
             m = len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind), pa.array(tokens.view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(counts.astype(np.int64)), *(pa.nulls(m, pa.int64()) for _ in PARITY)], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind), pa.array(tokens.view(np.int64)), pa.array(np.zeros(m, np.int64)), pa.array(counts.astype(np.int64)), pa.nulls(m, pa.binary()), *(pa.nulls(m, pa.int64()) for _ in FOLDS)], names=schema.names)
 
         for batch in batches:
             kind = batch.column(0).type
             for block in blocks(batch.column(1), SPACED_LOWER):
                 flat, bounds = shingle_sets(block, n)
                 hi, lo = node_ids(flat, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.docs, np.int32)), batch.column(0).slice(block.first, block.docs), pa.array(hi), pa.array(lo), pa.array(np.diff(bounds)), *map(pa.array, parities(flat, bounds))], names=schema.names)
+                raw, ends, folds = parities(flat, bounds)
+                bits = pa.Array.from_buffers(pa.binary(), block.docs, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(block.docs, np.int32)), batch.column(0).slice(block.first, block.docs), pa.array(hi), pa.array(lo), pa.array(np.diff(bounds)), bits, *(pa.array(np.ascontiguousarray(x)) for x in folds.T)], names=schema.names)
                 held.append(flat)
                 size += len(flat)
                 if size >= STRETCH:
@@ -190,6 +231,8 @@ def _heads(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
                     held, size = [], 0
         if held:
             yield shingle_rows()
+        held.clear()
+        freed()
 
     return df.select(df[f"`{key}`"].alias("key"), df[f"`{text}`"].alias("text")).mapInArrow(run, schema)
 
@@ -255,6 +298,7 @@ def _postings(df: DataFrame, text: str, n: int, rule: Rule, order, least: int, m
                     k1, k2, h, low, side = (pa.array(x, pa.int64()) for x in zip(*subsets))
                     m = len(subsets)
                     yield pa.RecordBatch.from_arrays([k1, k2, h, low, side.cast(pa.int32()), pa.nulls(m, pa.int32())], names=["token", "token2", "hi", "lo", "n", "pos"])
+        freed()
 
     return df.select(df[f"`{text}`"].alias("text")).mapInArrow(run, schema)
 
@@ -273,40 +317,60 @@ def _sets(df: DataFrame, text: str, n: int, needed: DataFrame) -> DataFrame:
                         seen.add(h)
                         fresh.append(d)
                 yield pa.RecordBatch.from_arrays([pa.array(hi[fresh]), pa.array([flat[bounds[d] : bounds[d + 1]].tobytes() for d in fresh], pa.binary())], names=["hi", "tokens"])
+        freed()
 
     every = df.select(df[f"`{text}`"].alias("text")).mapInArrow(run, StructType([StructField("hi", LongType()), StructField("tokens", BinaryType())]))
+    return _once(every, "tokens", needed)
+
+
+def _once(rows: DataFrame, value: str, needed: DataFrame) -> DataFrame:
+    """(hi, value) of the needed nodes, once each."""
     few = needed.count() <= MAX_BROADCAST_NODES
-    return every.join(F.broadcast(needed) if few else needed, "hi", "left_semi").groupBy("hi").agg(F.first("tokens").alias("tokens"))
+    return rows.select("hi", value).join(F.broadcast(needed) if few else needed, "hi", "left_semi").groupBy("hi").agg(F.first(value).alias(value))
 
 
 def _named(what: str, columns: tuple[str, ...]) -> list[Column]:
     return [F.col(c).alias(f"{what}_{c}") for c in columns]
 
 
-def _verified(df: DataFrame, text: str, n: int, rule: Rule, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) of nodes that are links."""
-    one, other = nodes.select(F.col("hi").alias("a"), "n", *PARITY), nodes.select(F.col("hi").alias("b"), *_named("b", ("n", *PARITY)))
-    pairs = written(pairs.join(one, "a").join(other, "b").where(rule.alike("b", PARITY)).select("a", "b"), "alike")
-    needed = written(pairs.select(F.col("a").alias("hi")).union(pairs.select("b")).distinct(), "nodes")
-    sets = _sets(df, text, n, needed)
-    both = pairs.join(sets.select(F.col("hi").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("hi").alias("b"), F.col("tokens").alias("tb")), "b")
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs (a, b)."""
+    return written(pairs.select(F.col("a").alias("hi")).union(pairs.select("b")).distinct(), "nodes")
+
+
+def _held(pairs: DataFrame, rows: DataFrame, value: str, apart: Callable[[np.ndarray, np.ndarray], int]) -> DataFrame:
+    """Those of the pairs (a, b, most) whose nodes' values (hi, value) are not further apart than most."""
+    both = pairs.join(rows.select(F.col("hi").alias("a"), F.col(value).alias("x")), "a").join(rows.select(F.col("hi").alias("b"), F.col(value).alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(len(left)):
-                x, y = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                common = int(np.count_nonzero(y[at] == x))
-                if rule.den * common >= rule.num * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return written(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+            left, right, most = batch.column(3), batch.column(4), batch.column(2).to_pylist()
+            keep = [i for i, m in enumerate(most) if apart(np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)) <= m]
+            yield batch.select(["a", "b", "most"]).take(pa.array(keep, pa.int64()))
+        freed()
+
+    return both.select("a", "b", "most", "x", "y").mapInArrow(run, "a long, b long, most long")
+
+
+def shingles_apart(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles only one of two sorted sets has."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return len(x) + len(y) - 2 * int(np.count_nonzero(y[at] == x))
+
+
+def _verified(df: DataFrame, text: str, n: int, rule: Rule, pairs: DataFrame, heads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the distinct pairs (a, b) of nodes that are links: by sizes and folded bitmaps, by whole bitmaps, and then by the sets."""
+    one, other = nodes.select(F.col("hi").alias("a"), "n", *FOLDS), nodes.select(F.col("hi").alias("b"), *_named("b", ("n", *FOLDS)))
+    near = written(pairs.join(one, "a").join(other, "b").where(rule.alike("b")).select("a", "b", rule.most_apart(F.col("n"), F.col("b_n")).alias("most")), "near")
+    ends = _ends(near)
+    alike = written(_held(near, _once(heads.where("kind = 0"), "bits", ends), "bits", bits_apart), "alike")
+    needed = _ends(alike)
+    links = written(_held(alike, _sets(df, text, n, needed), "tokens", shingles_apart).select("a", "b"), "links")
+    spent(near, ends, alike, needed)
+    return links
 
 
 def _light_links(subsets: DataFrame) -> DataFrame:
@@ -317,40 +381,50 @@ def _light_links(subsets: DataFrame) -> DataFrame:
     return met.select(other.alias("a"), F.col("hi").alias("b")).where("a <> b").distinct()
 
 
-def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, lists: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links of nodes (hi and bitmap) that meet in inverted lists (token, hi, n, pos)."""
+def _heavy_links(df: DataFrame, text: str, n: int, rule: Rule, postings: DataFrame, heads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links of nodes that meet in inverted lists: postings with token, hi, n, pos."""
+    lists = postings.where("pos is not null").select("token", "hi", "n", "pos")
     shared = written(lists.groupBy("token").agg(F.min("hi").alias("a"), F.max("hi").alias("b"), F.count(F.lit(1)).alias("k")).where("a <> b"), "shared")
-    folded = [F.expr(" ^ ".join(PARITY[i::FOLDED])).alias(f) for i, f in enumerate(FOLDS)]
     # while few lists are longer than two, their shingles are broadcast and the others' postings not dealt out again
-    long = shared.where("k > 2").select("token")
+    long = shared.where("k > 2").select("token", "a", "b")
     few = long.count() <= MAX_BROADCAST_LISTS
+    small = F.broadcast if few else lambda df: df
     # dealt by node for the bitmaps, which serves the distinct rows as well
-    met = written(lists.join(F.broadcast(long) if few else long, "token").join(nodes.select("hi", *folded), "hi").distinct(), "lists")
+    met = written(lists.join(small(long), "token").join(nodes.select("hi", *FOLDS), "hi").distinct(), "lists")
+    spent(postings)
     carried = ("hi", "n", "pos", *FOLDS)
 
     def near(what: str) -> Column:
-        return rule.alike(what, FOLDS) & rule.enough(F.col("n"), F.col("pos"), F.col(f"{what}_n"), F.col(f"{what}_pos"))
+        return rule.alike(what) & rule.enough(F.col("n"), F.col("pos"), F.col(f"{what}_n"), F.col(f"{what}_pos"))
 
     # places first, then nodes, in one number; equal numbers only make more hubs
     place = F.expr("(least(pos, 262143) * 17592186044416L) | shiftrightunsigned(hi, 20)")
-    marks = met.groupBy("token").agg(F.min(place).alias("hub"), F.max("hi").alias("other"))
-    hubs = met.join(marks, "token").where((place == F.col("hub")) | (F.col("hi") == F.col("other"))).select("token", *_named("hub", carried))
+    marks = written(met.groupBy("token").agg(F.min(place).alias("hub")), "marks")
+    marked = met.join(small(marks), "token").withColumn("is_hub", (place == F.col("hub")) | (F.col("hi") == F.col("a")) | (F.col("hi") == F.col("b")))
+    hubs = marked.where("is_hub").select("token", *_named("hub", carried))
     starred = met.join(hubs, "token").where((F.col("hi") != F.col("hub_hi")) & near("hub"))
     twos = shared.where("k = 2").select("a", "b")
     first = written(starred.select(F.least("hi", "hub_hi").alias("a"), F.greatest("hi", "hub_hi").alias("b")).union(twos).distinct(), "pairs")
-    links = _verified(df, text, n, rule, first, nodes)
-    labels = components(links.select(F.col("a"), F.col("b")))
-    labelled = met.join(labels.select(F.col("node").alias("hi"), "root"), "hi", "left").withColumn("root", F.coalesce("root", "hi"))
-    labelled = written(labelled, "labelled")
+    links = _verified(df, text, n, rule, first, heads, nodes)
+    # hubs were held against all members: only the others are left
+    labels = written(components(links), "labels")
+    few = labels.count() <= MAX_BROADCAST_NODES
+    rest = marked.where("not is_hub").select("token", *carried)
+    named = labels.select(F.col("node").alias("hi"), "root")
+    labelled = written(rest.join(F.broadcast(named) if few else named, "hi", "left").withColumn("root", F.coalesce("root", "hi")), "labelled")
+    spent(shared, met, marks)
     by = labelled.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-    mixed = by.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("top.root").alias("top"))
-    mixed = written(labelled.join(mixed, "token"), "mixed")
-    minor = mixed.where("root <> top").select("token", F.col("root").alias("x_root"), *_named("x", carried))
+    several = by.groupBy("token").agg(F.max(F.struct("k", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("token", F.col("top.root").alias("top"))
+    mixed = written(labelled.join(several, "token").withColumn("sizes", rule.size_class(F.col("n"))), "mixed")
+    around = F.explode(F.array(*(F.col("sizes") + d for d in (-1, 0, 1)))).alias("sizes")
+    minor = mixed.where("root <> top").select("token", around, F.col("root").alias("x_root"), *_named("x", carried))
     across = (F.col("root") != F.col("x_root")) & ((F.col("root") == F.col("top")) | (F.col("x_hi") < F.col("hi")))
-    more = minor.join(mixed, "token").where(across & near("x"))
+    more = minor.join(mixed, ["token", "sizes"]).where(across & near("x"))
     more = more.select(F.least("x_hi", "hi").alias("a"), F.greatest("x_hi", "hi").alias("b")).distinct()
     more = written(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    return links.union(_verified(df, text, n, rule, more, nodes))
+    out = links.union(_verified(df, text, n, rule, more, heads, nodes))
+    spent(first, labels, labelled, mixed, more)
+    return out
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -360,18 +434,18 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, num
     documents = heads.where("kind = 0")
     top = heads.where("kind = 1").groupBy(F.col("hi").alias("token")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "token").limit(HEAVY_TOKENS).toPandas()
     order = spark.sparkContext.broadcast(Order(top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)))
-    nodes = written(documents.where("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("key").alias("least"), *(F.first(b).alias(b) for b in PARITY)), "nodes")
+    nodes = written(documents.where("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("key").alias("least"), *(F.first(f).alias(f) for f in FOLDS)), "nodes")
     sizes = {r["n"]: r["c"] for r in nodes.where(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
     most_light = boundary(rule, sizes)
-    least, lists = rule.least_partner(most_light + 1), F.col("pos").isNotNull()
-    postings = written(_postings(df, text, n, rule, order, least, most_light), "postings")
-    links = _heavy_links(df, text, n, rule, postings.where(lists).select("token", "hi", "n", "pos"), nodes)
-    light = _light_links(postings.where("pos is null").select("token", "token2", "hi", F.col("n").alias("side")))
+    postings = written(_postings(df, text, n, rule, order, rule.least_partner(most_light + 1), most_light), "postings")
+    light = written(_light_links(postings.where("pos is null").select("token", "token2", "hi", F.col("n").alias("side"))), "light-links")
+    links = _heavy_links(df, text, n, rule, postings, heads, nodes)
     roots = components(links.union(light))
     labelled = nodes.join(roots.select(F.col("node").alias("hi"), "root"), "hi", "left").withColumn("root", F.coalesce("root", "hi"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component"))
-    label = labelled.join(least, "root").select(F.col("hi").alias("__hi"), F.col("lo").alias("__lo"), "component")
-    label = written(label, "labels")
+    label = written(labelled.join(least, "root").select(F.col("hi").alias("__hi"), F.col("lo").alias("__lo"), "component"), "labels")
+    order.destroy()
+    spent(nodes, light)
     out = documents.join(label, (F.col("hi") == F.col("__hi")) & (F.col("lo") == F.col("__lo")), "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id"))
 

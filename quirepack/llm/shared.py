@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Bytes of a row group of written tables: the writers of an executor hold one each.
+ROW_GROUP = 16 << 20
+#: Rows of one file that can be told apart, and files whose numbers are broadcast (about 20 MB).
+ROWS_OF_A_FILE = 1 << 38
+MAX_BROADCAST_FILES = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of its own where that is unset (tests on one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one of its own in the warehouse, which they share as well."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "quirepack-shared")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quirepack-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -48,5 +56,43 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that its true size is known to the planner."""
     path = new_folder(df.sparkSession, what)
     with small_batches(df.sparkSession):
-        df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_quire_folder"] = path
+    return out
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later step reads."""
+    for table in tables:
+        path = table.__dict__.pop("_quire_folder", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row that every evaluation gives again, whatever executors are there.
+
+    It is made of the number of the row's file and its place in the file; a table that is
+    not a plain read of files is written to the shared folder first.
+    """
+    place = lambda d: d.withColumns({"__file": F.col("_metadata.file_path"), name: F.col("_metadata.row_index")})
+    if "_metadata" not in df._jdf.queryExecution().analyzed().metadataOutput().toString():
+        df = written(df, "documents")
+    out = place(df)
+    # a row for each file, not for each document
+    files = written(df.select(F.col("_metadata.file_path").alias("__path")).groupBy("__path").agg(F.count(F.lit(1)).alias("__rows")), "files")
+    order = F.row_number().over(Window.orderBy("__path")).cast("long")
+    files = files.select("__path", order.alias("__no"))
+    few = files.count() <= MAX_BROADCAST_FILES
+    out = out.join(F.broadcast(files) if few else files, F.col("__file") == F.col("__path"))
+    return out.withColumn(name, F.col("__no") * ROWS_OF_A_FILE + F.col(name)).drop("__file", "__path", "__no")
+
+
+def freed() -> None:
+    """Gives a worker's free memory back to the machine: workers are kept for later tasks, of other operators too."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
