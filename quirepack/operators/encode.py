@@ -8,21 +8,25 @@ two zlib strategies and "turtle" the best of several strategies and memory level
 accounting do not depend on which codecs are in the table.
 
 A payload is read once and tried by all its encoders in the same task; only sizes,
-checksums and the chosen bytes leave it. A codec that fails gives None.
+checksums and the chosen bytes leave it. A codec that fails gives None. Each candidate
+carries the checksum of what its bytes inflate to: encoders that saw different bytes
+make the run fail. Payloads for zlib alone can also be encoded a chunk at a time.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quirepack.operators.entries import PRIORITY
 
 EMPTY = b"\x03\x00"
 STORED, DEFLATED = 0, 8
+CHUNK = 1 << 20
 
 
 def _deflate(data: bytes, level: int, memory: int = 8, strategy: int = zlib.Z_DEFAULT_STRATEGY) -> bytes:
@@ -43,14 +47,39 @@ CODECS: dict[str, Codec] = {
 }
 
 
-def encode_one(data: bytes, policy: dict, codecs: dict[str, Codec] = CODECS) -> tuple[list[tuple[str, int | None]], str | None, int, bytes]:
-    """All candidates (encoder, size), the chosen encoder (None: stored), the method and the member's bytes."""
+RACE_SCHEMA = "ordinal long, name string, size long, crc long, method int, engine string, compressed long, candidates array<struct<engine:string,compressed:long,crc:long>>, data binary"
+RACE_NAMES = [x.split()[0] for x in RACE_SCHEMA.split(", ")]
+RACE_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.struct([("engine", pa.string()), ("compressed", pa.int64()), ("crc", pa.int64())])), pa.binary()]
+
+
+def inflated_crc(packed: bytes) -> int:
+    """The checksum of what raw DEFLATE bytes inflate to, a piece at a time."""
+    unpack, crc, rest = zlib.decompressobj(-15), 0, packed
+    while True:
+        piece = unpack.decompress(rest, CHUNK)
+        crc, rest = zlib.crc32(piece, crc), unpack.unconsumed_tail
+        if unpack.eof or not (piece or rest):
+            return crc
+
+
+def deflate_chunks(chunks: Iterable[bytes], level: int) -> tuple[bytes, int, int]:
+    """The DEFLATE bytes of a payload that comes in chunks, its length and its checksum; a chunk is held at a time."""
+    packer, out, size, crc = zlib.compressobj(level, zlib.DEFLATED, -15, 8), [], 0, 0
+    for chunk in chunks:
+        out.append(packer.compress(chunk))
+        size, crc = size + len(chunk), zlib.crc32(chunk, crc)
+    out.append(packer.flush())
+    return b"".join(out), size, crc
+
+
+def encode_one(data: bytes, policy: dict, codecs: dict[str, Codec] = CODECS) -> tuple[list[tuple[str, int | None, int | None]], str | None, int, bytes]:
+    """All candidates (encoder, size, checksum of what it inflates to), the chosen encoder (None: stored), the method and the member's bytes."""
     after = policy["zlib_after"]
     alone = after is not None and len(data) >= after
     tried, best = [], None
     for name in ["zlib"] if alone else [e for e in ("fast", "ect", "turtle") if e in policy["engines"]]:
         packed = EMPTY if not data else codecs[name](data, policy)
-        tried.append((name, None if packed is None else len(packed)))
+        tried.append((name, None, None) if packed is None else (name, len(packed), inflated_crc(packed)))
         if packed is not None and (best is None or (len(packed), PRIORITY[name]) < (len(best[1]), PRIORITY[best[0]])):
             best = name, packed
     if best and (alone or not data or len(best[1]) < len(data)):
@@ -58,20 +87,30 @@ def encode_one(data: bytes, policy: dict, codecs: dict[str, Codec] = CODECS) ->
     return tried, None, STORED, data
 
 
-RACE_SCHEMA = "ordinal long, name string, size long, crc long, method int, engine string, compressed long, candidates array<struct<engine:string,compressed:long>>, data binary"
 
 
-def race(entries: DataFrame, policy: dict, codecs: dict[str, Codec] = CODECS, keep_data: bool = True) -> DataFrame:
-    """From (ordinal, name, payload): one row an entry with the winner and all candidates. A null payload is empty."""
+def spread(df: DataFrame) -> DataFrame:
+    """df in a partition for each core at least: a small file is one partition, however much work its rows make. A large one is not dealt anew."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def race(entries: DataFrame, policy: dict, codecs: dict[str, Codec] = CODECS, keep_data: bool = True, strict: bool = True) -> DataFrame:
+    """From (ordinal, name, payload): one row an entry with the winner and all candidates. A null payload is empty.
+
+    strict: candidates that do not inflate to the payload make the run fail; else their checksums only show it.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for ordinal, name, payload in zip(*(batch.column(i) for i in range(3))):
-                data = payload.as_py() or b""
+            for ordinal, name, payload, crc in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                data = payload or b""
                 tried, engine, method, packed = encode_one(data, policy, codecs)
-                rows.append((ordinal.as_py(), name.as_py(), len(data), zlib.crc32(data), method, engine, len(packed), [{"engine": e, "compressed": s} for e, s in tried], packed if keep_data else None))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.list_(pa.struct([("engine", pa.string()), ("compressed", pa.int64())])), pa.binary()]
-            columns = zip(*rows) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["ordinal", "name", "size", "crc", "method", "engine", "compressed", "candidates", "data"])
-
-    return entries.select("ordinal", "name", "payload").mapInArrow(run, RACE_SCHEMA)
+                if strict and any(c not in (None, crc) for _, _, c in tried):
+                    raise ValueError(f"encoders saw different bytes of {name!r}")
+                rows.append((ordinal, name, len(data), crc, method, engine, len(packed), [{"engine": e, "compressed": s, "crc": c} for e, s, c in tried], packed if keep_data else None))
+            columns = zip(*rows) if rows else [[]] * len(RACE_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, RACE_KINDS)], names=RACE_NAMES)
+
+    crc = F.crc32(F.coalesce(F.col("payload"), F.lit(b""))).cast("long")
+    return spread(entries.select("ordinal", "name", "payload", crc.alias("crc"))).mapInArrow(run, RACE_SCHEMA)

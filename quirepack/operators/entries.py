@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quirepack.functions.names import mask_matches, matches_any
+from quirepack.functions.names import display_width, mask_matches, matches_any
 from quirepack.functions.sizes import END_BYTES, LOCAL_BYTES, WORK_UNITS, entry_weight, member_bytes, memory_cost
 
 MOST_ENTRIES = 65_535
@@ -75,12 +75,31 @@ def archive_size(members: DataFrame) -> DataFrame:
     return members.agg((total + END_BYTES).cast("long").alias("archive_bytes"), F.count(F.lit(1)).cast("long").alias("members"))
 
 
+def stored_copies(members: DataFrame) -> DataFrame:
+    """members (method, crc, data): a stored copy whose bytes do not have the checksum that the encoders saw makes the run fail."""
+    same = (F.col("method") != 0) | (F.crc32("data") == F.col("crc"))
+    return members.where(F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("input changed: "), F.col("name"))).cast("boolean")))
+
+
+def _range_of(value: Column, bounds: list) -> Column:
+    """The number of bounds that are not above the value, by halving."""
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(value < F.lit(bounds[mid]), between(low, mid)).otherwise(between(mid + 1, high))
+
+    return between(0, len(bounds))
+
+
 def _prefix_sums(rows: DataFrame, order: str, values: dict[str, Column], parts: int) -> DataFrame:
-    """Sums of values over all rows before each, by two levels: sums inside ranges of the order, moved up by the totals of the ranges before. No task holds more than a range."""
-    span = rows.agg(F.min(order), F.max(order)).first()
-    low, high = (span[0] or 0), (span[1] or 0)
-    width = max(1, -(-(high - low + 1) // parts))
-    ranged = rows.withColumn("__part", F.floor((F.col(order) - low) / width).cast("long"))
+    """Sums of values over all rows before each, by two levels: sums inside ranges of the order, moved up by the totals of the ranges before.
+
+    The ranges are cut at quantiles, so each has about as many rows, however the order's values lie.
+    """
+    rows = rows.persist()  # read for the quantiles, the totals and the sums
+    bounds = sorted(set(rows.approxQuantile(order, [k / parts for k in range(1, parts)], 1 / (4 * parts)))) if parts > 1 else []
+    ranged = rows.withColumn("__part", _range_of(F.col(order), [int(b) for b in bounds]))
     totals = ranged.groupBy("__part").agg(*(F.sum(v).alias(f"__t_{k}") for k, v in values.items()))
     earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(F.col("__part").alias("__p"), *(F.coalesce(F.sum(f"__t_{k}").over(earlier), F.lit(0)).alias(f"__b_{k}") for k in values))
@@ -90,17 +109,32 @@ def _prefix_sums(rows: DataFrame, order: str, values: dict[str, Column], parts:
     return out.withColumns({k: (F.col(f"__s_{k}") + F.col(f"__b_{k}")).cast("long") for k in values}).drop("__part", "__p", *(f"__{x}_{k}" for x in "sb" for k in values))
 
 
-def member_offsets(members: DataFrame, parts: int = 256) -> DataFrame:
+def member_offsets(members: DataFrame, parts: int = 32) -> DataFrame:
     """members with local_offset: where each one's local header starts."""
     own = (F.lit(LOCAL_BYTES) + F.col("name_len").cast("long") + F.col("compressed").cast("long"))
     return _prefix_sums(members, "ordinal", {"local_offset": own}, parts)
 
 
-def progress(members: DataFrame, parts: int = 256) -> DataFrame:
+def progress(members: DataFrame, parts: int = 32) -> DataFrame:
     """The percentage (in hundredths) shown when each entry is done: work so far by weight, at most 99.99 % until the last."""
     weight = WORK_UNITS * entry_weight(F.col("size"))
     totals = members.agg(F.sum(weight).alias("__total"), F.max("ordinal").alias("__last"))
     before = _prefix_sums(members, "ordinal", {"__before": weight}, parts)
-    exact = F.floor((F.col("__before") + weight) * 10000 / F.col("__total")).cast("long")
-    shown = F.when(F.col("ordinal") == F.col("__last"), exact).otherwise(F.least(exact, F.lit(9999)))
-    return before.crossJoin(F.broadcast(totals)).withColumn("percent_hundredths", shown.cast("long")).drop("__before", "__total", "__last")
+    # whole numbers throughout: work times 10000 does not fit 64 bits for the largest archives
+    done = (F.col("__before") + weight).cast("decimal(28,0)") * F.lit(10000).cast("decimal(5,0)")
+    exact = F.call_function("div", done, F.col("__total").cast("decimal(28,0)"))
+    shown = F.when(F.col("ordinal") == F.col("__last"), exact).otherwise(F.least(exact, F.lit(9999).cast("long")))
+    # one row with the totals
+    return before.join(F.broadcast(totals), F.lit(True)).withColumn("percent_hundredths", shown.cast("long")).drop("__before", "__total", "__last")
+
+
+def progress_totals(entries: DataFrame) -> DataFrame:
+    """One row: all work units, and the columns of the widest name, to which a display is aligned."""
+    work = F.sum(WORK_UNITS * entry_weight(F.col("size")))
+    return entries.agg(F.coalesce(work, F.lit(0)).cast("long").alias("total_work"), F.coalesce(F.max(display_width(F.col("name"))), F.lit(0)).cast("long").alias("widest"))
+
+
+def task_shares(tasks: DataFrame) -> DataFrame:
+    """tasks (ordinal, engine, size) with the work units that each adds when it is done: its entry's, divided by the entry's tasks."""
+    count = F.count(F.lit(1)).over(Window.partitionBy("ordinal"))
+    return tasks.withColumn("share", F.call_function("div", WORK_UNITS * entry_weight(F.col("size")), count))

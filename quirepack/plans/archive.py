@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from quirepack.functions.names import UTF8_FLAG, archive_name
 from quirepack.functions.sizes import hint_bits
 from quirepack.operators.encode import race
-from quirepack.operators.zip_file import write_archive
-from quirepack.plans.policy import Policy, PolicyError, parse_arguments
+from quirepack.operators.entries import progress_totals, stored_copies
+from quirepack.operators.zip_file import Progress, write_archive
+from quirepack.plans.policy import Policy, PolicyError, beside_program, parse_arguments
 from quirepack.sources import files
 
 
@@ -41,22 +42,30 @@ def text_members(documents: DataFrame, policy: Policy, level: int) -> DataFrame:
     return raced.withColumns({"raw_name": F.col("name").cast("binary"), "flags": flags, "mode": F.lit(0o100644).cast("long"), "mtime": F.lit(315_619_200.0)})
 
 
-def run(spark: SparkSession, arguments: list[str], ini: str | None = None, search: tuple[str, ...] = (), codecs=None) -> tuple[str, int] | str:
-    """Runs a command line; returns the archive's path and number of members, or a help text."""
-    request = parse_arguments(arguments, ini, search)
+def run(spark: SparkSession, arguments: list[str], ini: str | None = None, search: tuple[str, ...] = (), codecs=None, created: str | None = None, show=None) -> tuple[str, int] | str:
+    """Runs a command line; returns the archive's path and number of members, or a help text.
+
+    created: where a default INI is put if no INI is found. show: a text stream for progress.
+    """
+    request = parse_arguments(arguments, ini, search, created)
     if isinstance(request, str):
         return request
     path = archive_name(request.archive)
     found = files.discover(request.inputs, request.policy.recursive, request.literal_from, path)
     entries = files.entries(spark, found)
-    raced = race(files.with_payload(entries), policy_dict(request.policy), **({"codecs": codecs} if codecs else {}))
-    return path, write_archive(members(raced, entries, request.level), path)
+    # inputs for zlib alone are read a chunk at a time, whole ones only below that size
+    alone = F.lit(False) if request.policy.zlib_after is None else F.col("size") >= request.policy.zlib_after
+    raced = race(files.with_payload(entries.where(~alone)), policy_dict(request.policy), **({"codecs": codecs} if codecs else {}))
+    raced = raced.unionByName(files.deflated(entries.where(alone), request.policy.zlib_level))
+    ready = stored_copies(members(raced, entries, request.level))
+    total = progress_totals(entries).first()
+    return path, write_archive(ready, path, progress=Progress(total["total_work"], total["widest"], show) if show else None)
 
 
 def main(arguments: list[str] | None = None) -> int:
     try:
         spark = SparkSession.builder.appName("quirepack").getOrCreate()
-        done = run(spark, sys.argv[1:] if arguments is None else arguments, os.environ.get("QUIREPACK_INI"), ("quirepack.ini",))
+        done = run(spark, sys.argv[1:] if arguments is None else arguments, os.environ.get("QUIREPACK_INI"), ("quirepack.ini",), created=beside_program("quirepack.ini"), show=sys.stderr)
     except (PolicyError, files.InputError, OSError) as e:
         print(f"quirepack: {e}", file=sys.stderr)
         return 1

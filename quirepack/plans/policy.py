@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
+import sys
+import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -233,9 +236,26 @@ def write_default_ini(path: str) -> bool:
         os.unlink(temporary)
 
 
-def load(level: int, ini: str | None = None, search: tuple[str, ...] = ()) -> Policy:
-    """The level's policy: from the named INI (which must be there), else the first of search that is, else compiled."""
+def beside_program(name: str) -> str | None:
+    """A file's path beside the running program, which is looked up in PATH if it was called by name alone; None where it is not known."""
+    program = sys.argv[0] if sys.argv and sys.argv[0] else ""
+    found = program if os.sep in program else shutil.which(program) if program else None
+    return os.path.join(os.path.dirname(os.path.abspath(found)), name) if found else None
+
+
+def load(level: int, ini: str | None = None, search: tuple[str, ...] = (), created: str | None = None) -> Policy:
+    """The level's policy: from the named INI (which must be there), else the first of search that is, else the created one, else compiled.
+
+    created: where a default INI is written if it is not there; where that fails, a warning is given.
+    """
     policy = preset(level)
+    if created and not ini and not any(map(os.path.exists, search)):
+        try:
+            if not os.path.exists(created):
+                write_default_ini(created)
+            search = (*search, created)
+        except OSError as e:
+            warnings.warn(f"cannot write {created}, compiled settings are used: {e}", stacklevel=2)
     for path in [ini] if ini else [p for p in search if os.path.exists(p)]:
         try:
             with open(path, encoding="utf-8") as f:
@@ -265,7 +285,7 @@ def full_help() -> str:
     return HELP + "\n".join(lines) + "\n"
 
 
-def parse_arguments(arguments: list[str], ini: str | None = None, search: tuple[str, ...] = ()) -> Request | str:
+def parse_arguments(arguments: list[str], ini: str | None = None, search: tuple[str, ...] = (), created: str | None = None) -> Request | str:
     """The request of a command line, or the help text that it asks for. Options may stand anywhere before --."""
     level, i = DEFAULT_LEVEL, 0
     while i < len(arguments) and arguments[i] != "--":
@@ -277,7 +297,7 @@ def parse_arguments(arguments: list[str], ini: str | None = None, search: tuple[
         if re.fullmatch("-[1-9]", one):
             level = int(one[1])
         i += 2 if known_option(one) else 1
-    policy = load(level, ini, search)
+    policy = load(level, ini, search, created)
     names: list[str] = []
     literal, rest = 1 << 30, iter(arguments)
     for one in rest:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from quirepack.functions import names, sizes
 from quirepack.operators import encode, entries
 from quirepack.plans.archive import policy_dict, text_entries, text_members
-from quirepack.plans.policy import presets, preset
+from quirepack.plans.policy import catalogue, preset, presets
+from quirepack.sources import files
 
 #: A threshold that splits the sample tables; the compiled one is 64 MiB.
 THRESHOLD = 8192
@@ -171,8 +172,64 @@ def compress_race(spark, d):
 
 
 def crc_agreement(spark, d):
-    each = _raced(spark, d, 9).select("ordinal", F.explode("candidates").alias("c"), "crc")
-    return entries.crc_agreement(each.select("ordinal", "crc"))
+    """Checksums of what every candidate inflates to, and of the payload: all must be one."""
+    raced = encode.race(_entries(spark, d), policy_dict(preset(9)), keep_data=False, strict=False)
+    each = raced.select("ordinal", F.explode(F.concat(F.transform("candidates", lambda c: c["crc"]), F.array("crc"))).alias("crc"))
+    return entries.crc_agreement(each)
+
+
+def stored_copy_guard(spark, d):
+    copies = _entries(spark, d).select("ordinal", "name", "size", F.lit(0).alias("method"), F.crc32("payload").alias("crc"), F.col("payload").alias("data"))
+    return entries.stored_copies(copies).select("ordinal", "size", (F.crc32("data") == F.col("crc")).alias("same"))
+
+
+#: Bytes of a chunk of the sample tables; the compiled one is 1 MiB.
+STEP = 1000
+
+
+def chunked_read(spark, d):
+    """Payloads read a chunk at a time: how many chunks, the last one's length, and whether together they have the payload's checksum."""
+    import io
+    import zlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for ordinal, payload, crc in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                count, last, seen = 0, 0, 0
+                for piece in files.chunks(io.BytesIO(payload), len(payload), ordinal, STEP):
+                    count, last, seen = count + 1, len(piece), zlib.crc32(piece, seen)
+                rows.append((ordinal, count, last, seen == crc))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["ordinal", "chunks", "last_bytes", "same"])
+
+    return _entries(spark, d).select("ordinal", "payload", F.crc32("payload").alias("crc")).mapInArrow(run, "ordinal long, chunks long, last_bytes long, same boolean")
+
+
+def admissible_names(spark, d):
+    e = _odd_names(_entries(spark, d))
+    return e.select("ordinal", names.admissible(F.col("name"), F.col("size")).alias("admissible"), names.name_flags(F.col("name").cast("binary")).alias("flags"))
+
+
+def display_width(spark, d):
+    e = _entries(spark, d).withColumn("name", F.concat(F.lit("\u65e5\u672ce\u0301"), F.col("ordinal").cast("string")))
+    return e.select("ordinal", names.display_width(F.col("name")).cast("long").alias("width"))
+
+
+def progress_totals(spark, d):
+    return entries.progress_totals(_entries(spark, d))
+
+
+def task_shares(spark, d):
+    tasks = entries.fan_out(_entries(spark, d), F.array(*map(F.lit, ENGINES)), F.lit(THRESHOLD))
+    return entries.task_shares(tasks).select("ordinal", "engine", "share")
+
+
+def settings(spark, d):
+    """Encoder settings and their bounds that hold for all levels."""
+    return catalogue(spark).where("setting in ('--libdeflate_level', '--zlib_level')").select("setting", "least", "greatest")
 
 
 def archive_roundtrip(spark, d):
@@ -186,9 +243,9 @@ def archive_roundtrip(spark, d):
     def run(batches):
         for batch in batches:
             ok = [zlib.crc32(x.as_py() if m.as_py() == 0 else zlib.decompress(x.as_py(), -15)) == c.as_py() for m, c, x in zip(*(batch.column(n) for n in ("method", "crc", "data")))]
-            yield pa.RecordBatch.from_arrays([batch.column("ordinal"), batch.column("method"), pa.array(ok, pa.bool_())], names=["ordinal", "method", "same"])
+            yield pa.RecordBatch.from_arrays([batch.column("ordinal"), pa.array(ok, pa.bool_())], names=["ordinal", "same"])
 
-    return ready.select("ordinal", "method", "crc", "data").mapInArrow(run, "ordinal long, method int, same boolean")
+    return ready.select("ordinal", "method", "crc", "data").mapInArrow(run, "ordinal long, same boolean")
 
 
 def level6_report(spark, d):
@@ -199,7 +256,7 @@ def level6_report(spark, d):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (scan_entries, mask_basename, mask_path, mask_any_of, default_mask_hides_dotfiles, valid_name, keep_first_by_name, entry_count_guard, exclude_output, zlib_threshold_split, preset_lookup, engine_fanout, memory_cost, level_hint, argmin_candidate, store_decision, crc_agreement, archive_size, member_offsets, ratio_hundredths, progress_percent, scalar_paths, compress_zlib, compress_race, archive_roundtrip, level6_report)
+    for f in (scan_entries, mask_basename, mask_path, mask_any_of, default_mask_hides_dotfiles, valid_name, keep_first_by_name, entry_count_guard, exclude_output, zlib_threshold_split, preset_lookup, engine_fanout, memory_cost, level_hint, argmin_candidate, store_decision, crc_agreement, archive_size, member_offsets, ratio_hundredths, progress_percent, scalar_paths, compress_zlib, compress_race, archive_roundtrip, level6_report, stored_copy_guard, chunked_read, admissible_names, display_width, progress_totals, task_shares, settings)
 }
 
 
@@ -239,6 +296,15 @@ def oracle_sql() -> dict[str, str]:
         "member_offsets": f"{chosen} SELECT ordinal, CAST(coalesce(sum(30 + name_len + compressed) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS local_offset FROM h",
         "ratio_hundredths": f"{chosen} SELECT ordinal, CAST(CASE WHEN size = 0 THEN 0 ELSE (compressed * 10000 + size // 2) // size END AS BIGINT) AS ratio FROM h",
         "progress_percent": f"{with_e}, w AS (SELECT ordinal, CAST(sum(6 * greatest(size, 1)) OVER (ORDER BY ordinal) AS BIGINT) AS done, CAST(sum(6 * greatest(size, 1)) OVER () AS BIGINT) AS total, max(ordinal) OVER () AS last FROM e) SELECT ordinal, CASE WHEN ordinal = last THEN done * 10000 // total ELSE least(done * 10000 // total, 9999) END AS percent_hundredths FROM w",
+        "crc_agreement": "SELECT doc_id AS ordinal, CAST(1 AS BIGINT) AS checksums, true AS agree FROM documents",
+        "stored_copy_guard": f"{with_e} SELECT ordinal, size, true AS same FROM e",
+        "chunked_read": f"{with_e} SELECT ordinal, (size + {STEP - 1}) // {STEP} AS chunks, CASE WHEN size = 0 THEN 0 ELSE (size - 1) % {STEP} + 1 END AS last_bytes, true AS same FROM e",
+        "admissible_names": f"{with_e} SELECT ordinal, ordinal % 6 IN (3, 5) AND size <= 4294967295 AS admissible, {names.UTF8_FLAG} AS flags FROM e",
+        "display_width": f"SELECT doc_id AS ordinal, CAST(5 + length({o}) AS BIGINT) AS width FROM documents",
+        "progress_totals": f"{with_e} SELECT CAST(sum(6 * greatest(size, 1)) AS BIGINT) AS total_work, CAST(max(length(name)) AS BIGINT) AS widest FROM e",
+        "task_shares": f"{with_e}, {tasks} SELECT ordinal, engine, CAST(6 * greatest(size, 1) // CASE WHEN size >= {THRESHOLD} THEN 1 ELSE 3 END AS BIGINT) AS share FROM t",
+        "settings": "SELECT * FROM (VALUES ('--libdeflate_level', 1, 12), ('--zlib_level', 1, 9)) AS s(setting, least, greatest)",
+        "archive_roundtrip": "SELECT doc_id AS ordinal, true AS same FROM documents",
         "scalar_paths": f"{with_e} SELECT ordinal, name AS stripped, string_split(name, '/')[-1] AS base, CASE WHEN ordinal % 2 = 0 THEN name ELSE 'top/' || name END AS joined, greatest(size, 1) AS weight FROM e",
     }
 

@@ -14,9 +14,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from quirepack.functions.names import MOST_NAME_BYTES, mask_regex
+from quirepack.functions.names import MOST_NAME_BYTES, mask_regex, name_flags
+from quirepack.operators.encode import CHUNK, DEFLATED, RACE_KINDS, RACE_NAMES, RACE_SCHEMA, deflate_chunks, inflated_crc
 
 ENTRY_SCHEMA = "ordinal long, path string, raw_name binary, name string, name_len int, flags int, mode long, size long, mtime double, dev long, ino long, raw_path binary"
 
@@ -106,10 +108,39 @@ def discover(inputs: list[str], recursive: bool, literal_from: int = 1 << 30, ar
 
 def entries(spark: SparkSession, rows: list[tuple], partitions: int | None = None) -> DataFrame:
     """The discovered rows as a DataFrame, dealt out for reading."""
-    df = spark.createDataFrame(rows, ENTRY_SCHEMA)
+    df = spark.createDataFrame(rows, ENTRY_SCHEMA).withColumn("flags", name_flags(F.col("raw_name")))
     return df.repartition(partitions or spark.sparkContext.defaultParallelism)
 
 
+def chunks(f, size: int, path, step: int = CHUNK) -> Iterator[bytes]:
+    """The bytes of an open file, a chunk at a time. It must end where it ended when its size was seen."""
+    left = size
+    while left:
+        piece = f.read(min(left, step))
+        if not piece:
+            raise InputError(f"file changed while it was read: {path!r}")
+        left -= len(piece)
+        yield piece
+    if f.read(1):
+        raise InputError(f"file changed while it was read: {path!r}")
+
+
+def deflated(df: DataFrame, level: int) -> DataFrame:
+    """Members of RACE_SCHEMA for zlib alone, read and encoded a chunk at a time: inputs of any length take a chunk and their encoded bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ordinal, name, path, size in zip(*(batch.column(c).to_pylist() for c in ("ordinal", "name", "raw_path", "size"))):
+                with open(path, "rb") as f:
+                    packed, total, crc = deflate_chunks(chunks(f, size, path), min(level, 9))
+                tried = [{"engine": "zlib", "compressed": len(packed), "crc": inflated_crc(packed)}]
+                if tried[0]["crc"] != crc:
+                    raise ValueError(f"encoders saw different bytes of {name!r}")
+                row = (ordinal, name, total, crc, DEFLATED, "zlib", len(packed), tried, packed)
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, RACE_KINDS)], names=RACE_NAMES)
+
+    return df.select("ordinal", "name", "raw_path", "size").mapInArrow(run, RACE_SCHEMA)
+
+
 def with_payload(df: DataFrame) -> DataFrame:
     """df with payload: the file's bytes, of exactly the size seen before."""
     schema = StructType([*df.schema.fields, StructField("payload", BinaryType())])
@@ -120,9 +151,7 @@ def with_payload(df: DataFrame) -> DataFrame:
                 row = batch.slice(i, 1)
                 path, size = row.column("raw_path")[0].as_py(), row.column("size")[0].as_py()
                 with open(path, "rb") as f:
-                    data = f.read(size + 1)
-                if len(data) != size:
-                    raise InputError(f"file changed while it was read: {path!r}")
+                    data = b"".join(chunks(f, size, path))
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], names=[*batch.schema.names, "payload"])
 
     return df.mapInArrow(run, schema)

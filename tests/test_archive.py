@@ -134,3 +134,87 @@ def test_a_corrupt_archive_is_not_published(spark, tree):
     assert os.stat("old.zip").st_mode & 0o777 == 0o640
     with zipfile.ZipFile(io.BytesIO((tree / "old.zip").read_bytes())) as z:
         assert z.testzip() is None and z.read("s/en/2.txt") == b""
+
+
+def test_encoders_that_saw_other_bytes_fail_the_run(spark):
+    from quirepack.operators.encode import race
+
+    rows = spark.createDataFrame([(1, "a", b"text " * 50), (2, "b", None)], "ordinal long, name string, payload binary")
+    own = archive.policy_dict(policy.preset(9)) | {"engines": ["fast", "turtle"]}
+    lying = dict(CODECS) | {"turtle": lambda data, p: CODECS["fast"](data[:-1], p)}
+    shown = race(rows, own, lying, strict=False).where("ordinal = 1").first()["candidates"]
+    assert len({c["crc"] for c in shown}) == 2
+    with pytest.raises(Exception, match="different bytes"):
+        race(rows, own, lying).collect()
+    assert race(rows, own).count() == 2
+
+
+def test_a_changed_stored_copy_fails_the_run(spark):
+    from quirepack.operators.entries import stored_copies
+
+    rows = spark.createDataFrame([("a", 0, 907060870, b"hello"), ("b", 8, 1, b"x")], "name string, method int, crc long, data binary")
+    assert stored_copies(rows).count() == 2
+    with pytest.raises(Exception, match="input changed: a"):
+        stored_copies(rows.withColumn("crc", rows.crc + 1)).collect()
+
+
+def test_inputs_are_read_in_chunks(spark, tree):
+    from quirepack.sources.files import chunks
+
+    assert [len(x) for x in chunks(io.BytesIO(b"x" * 25), 25, "f", 10)] == [10, 10, 5] and not list(chunks(io.BytesIO(b""), 0, "f"))
+    for size in (24, 26):
+        with pytest.raises(InputError):
+            list(chunks(io.BytesIO(b"x" * 25), size, "f", 10))
+    (tree / "long").write_bytes(os.urandom(1 << 20) * 3 + b"end")
+    archive.run(spark, ["-6", "z", "top.txt", "long", "empty", "--zlib_after", "1MiB"])
+    with zipfile.ZipFile("z.zip") as z:
+        assert z.testzip() is None and z.read("long") == (tree / "long").read_bytes()
+        assert [i.compress_type for i in z.infolist()] == [8, 8, 8]
+
+
+def test_progress_is_aligned_and_ends_at_100(spark, tree):
+    (tree / "日本.txt").write_bytes(b"w" * 50)
+    out = io.StringIO()
+    archive.run(spark, ["p", "top.txt", "日本.txt", "empty"], show=out)
+    assert out.getvalue().splitlines() == ["top.txt    98.74%", "日本.txt   99.97%", "empty     100.00%"]
+
+
+def test_a_signal_removes_the_temporary_file(tmp_path):
+    import signal
+
+    from quirepack.operators.zip_file import removed_on_signal
+
+    before = signal.getsignal(signal.SIGTERM)
+    path = tmp_path / "a.zip.tmp.1"
+    path.write_bytes(b"half")
+    with pytest.raises(SystemExit) as left, removed_on_signal(str(path)):
+        os.kill(os.getpid(), signal.SIGTERM)
+        signal.pause()
+    assert left.value.code == 128 + signal.SIGTERM and not path.exists() and signal.getsignal(signal.SIGTERM) is before
+
+
+def test_a_default_ini_is_created_once(tmp_path):
+    path = str(tmp_path / "quirepack.ini")
+    assert policy.load(9, created=path) == policy.preset(9) and os.path.exists(path)
+    with open(path, "w") as f:
+        f.write("[2]\n--zopfli_greed 9\n")
+    assert policy.load(2, created=path).engines == {"ect"}
+    assert policy.load(2, search=(path,), created=str(tmp_path / "other.ini")).engines == {"ect"} and not (tmp_path / "other.ini").exists()
+    with pytest.warns(UserWarning, match="compiled settings"):
+        assert policy.load(3, created=str(tmp_path / "none" / "x.ini")) == policy.preset(3)
+
+
+def test_invalid_utf8_names_have_no_flag(spark):
+    from quirepack.functions.names import name_flags
+
+    rows = spark.createDataFrame([(b"ok\xc3\xa9",), (b"\xc0\xaf",), (b"\xed\xa0\x80",), (b"\xff",)], "raw binary")
+    assert [r[0] for r in rows.select(name_flags(rows.raw)).collect()] == [0x0800, 0, 0, 0]
+
+
+def test_ordinals_far_apart_fill_no_single_range(spark):
+    from quirepack.operators.entries import member_offsets, progress
+
+    rows = spark.createDataFrame([(i if i < 99 else 1 << 60, 3, 2**32 - 1, 10) for i in range(100)], "ordinal long, name_len int, size long, compressed long")
+    got = [r["local_offset"] for r in member_offsets(rows).orderBy("ordinal").collect()]
+    assert got == [43 * i for i in range(100)]
+    assert [r["percent_hundredths"] for r in progress(rows).orderBy("ordinal").collect()] == [100 * (i + 1) for i in range(100)]
