@@ -8,19 +8,27 @@ hold a copy of one of its windows, and no other:
 1. Each window has an anchor, the least hash among its ANCHOR-word sequences
    (leftmost if several). Equal windows have equal anchors at equal places, so
    windows whose anchor stands only once in the corpus have no copy.
-2. The other windows go to the block of their anchor, as runs of consecutive
-   windows around one anchor. A block indexes its runs and factors them greedily:
-   a factor goes on while the next window also follows in the reference. Where it
-   ends, the next window is looked up anew, so windows over a factor boundary are
-   checked as well. Factors are WINDOW words or longer by construction.
-3. Anchors with more than HOT occurrences would make a block of any size; their
-   windows are counted one by one instead, with map-side sums.
-
-Windows are compared by their 64-bit hash besides the anchor's 64-bit hash.
+2. The other windows go to the block of their route, as runs of consecutive windows
+   around one place. The route is the anchor; where more than MOST_RUNS runs have it,
+   it is the anchor and the greatest hash of the window as well; and where these are
+   too many again, the window's whole content, whose block is one window and its
+   copies. Windows that are equal have equal routes at each of these levels, and
+   routes that stand once have no copy. So no block grows with the input.
+3. A block's runs are its reference. It is indexed by a suffix array over the runs:
+   window starts sorted by the windows that follow, so that the longest match of any
+   place is with a neighbour. Each run is parsed greedily: the longest match from a
+   place is a factor if it has WINDOW words or more, the next factor starts behind
+   it, and where nothing matches the parse goes on one word later. Windows over a
+   factor's end are looked up by themselves, each one that is found being a factor.
+   All factors are duplicate spans.
+
+Blocks are streamed through a task, MOST_RUNS runs or one route at a time. Windows
+are compared by 64-bit hashes besides the 64-bit hash of their route.
 
 Nulls and empty texts have no words. Texts shorter than a window lose nothing.
 Repeated rows are copies of each other and lose all windows, as do all copies.
-Rows are told apart by an internal key, so null or repeated doc_ids do no harm.
+Rows are told apart by an internal key, so null or repeated doc_ids do no harm, and
+columns of any name stay but n_words, n_removed and kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -34,26 +42,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from .arrowmap import with_columns
-from .shared import written
-from .textscan import SPACED, Block, blocks, mix, sequence_hashes
+from .shared import freed, numbered, spent, written
+from .textscan import SPACED, Block, blocks, buffers, mix, sequence_hashes
 
 WINDOW = 35
 ANCHOR = 10
-#: A block holds all runs of its anchors, of about 150 bytes each: 7 MB for the largest anchor dealt this way.
-HOT = 50_000
+#: Runs of a block, of about 150 bytes each: 2 MB, and some 15 MB while it is indexed.
+MOST_RUNS = 16_384
+KEY = "__row"
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def windows(block: Block, window: int = WINDOW, anchor: int = ANCHOR):
-    """(starts, hashes of anchors, places of anchors, word hashes) of all windows in the block, as word numbers."""
-    words = block.hashes()
-    n = len(words)
-    at, grams = block.grams(words, anchor)
-    low = np.full(n + window, _TOP, np.uint64)
-    low[at] = grams
-    where = np.arange(n + window)
-    width, span = 1, window - anchor + 1
-    while 2 * width <= span:  # least of a power of two of places, leftmost first
+def _sliding_least(low: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each span of values, and the leftmost place of it."""
+    where, width = np.arange(len(low)), 1
+    while 2 * width <= span:
         later = low[width:] < low[:-width]
         where = np.where(later, where[width:], where[:-width])
         low = np.where(later, low[width:], low[:-width])
@@ -63,6 +66,17 @@ def windows(block: Block, window: int = WINDOW, anchor: int = ANCHOR):
         later = low[gap:] < low[:-gap]
         where = np.where(later, where[gap:], where[:-gap])
         low = np.where(later, low[gap:], low[:-gap])
+    return low, where
+
+
+def windows(block: Block, window: int = WINDOW, anchor: int = ANCHOR, greatest: bool = False):
+    """(starts, hashes of anchors, places of anchors, word hashes) of all windows in the block, as word numbers; greatest: by the greatest hash."""
+    words = block.hashes()
+    n = len(words)
+    at, grams = block.grams(words, anchor)
+    low = np.full(n + window, _TOP, np.uint64)
+    low[at] = ~grams if greatest else grams
+    low, where = _sliding_least(low, window - anchor + 1)
     room = np.repeat(block.bounds[1:], np.diff(block.bounds)) - np.arange(n)
     starts = np.flatnonzero(room >= window)
     return starts, low[starts], where[starts], words
@@ -85,9 +99,10 @@ def _anchors(rows: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """From (key, text, places: twice the word number of repeated anchors, plus one if hot): runs of windows around an anchor (hot false: route is the anchor, hashes of n windows from start), or single windows (hot true: route joins both hashes)."""
+    """From (key, text, places: twice the word number of repeated anchors, plus one if they have too many runs): (level, route, key, start, hashes) of runs of windows around an anchor (level 1) or around an anchor and a greatest hash (level 2)."""
+    names = ["level", "route", "key", "start", "hashes"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["hot", "route", "key", "start", "hashes"]
         for batch in batches:
             keys, places_of = batch.column(0).to_numpy(), batch.column(2)
             for block in blocks(batch.column(1), SPACED):
@@ -99,90 +114,182 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
                 doc_of = np.repeat(np.arange(block.docs), lists.value_lengths().fill_null(0).to_numpy())
                 state = np.zeros(len(words), np.int8)
                 state[block.bounds[doc_of] + (own >> 1)] = 1 + (own & 1)
-                kind = state[places]
-                some = np.flatnonzero(kind)
+                level = state[places]
+                some = np.flatnonzero(level)
                 if not len(some):
                     continue
-                starts, hashes, places, kind = starts[some], hashes[some], places[some], kind[some]
+                second = places
+                if (level == 2).any():
+                    _, more, second, _ = windows(block, window, anchor, greatest=True)
+                    hashes = np.where(level == 2, mix(hashes ^ mix(more)), hashes)
+                    second = np.where(level == 2, second, places)
+                starts, hashes, places, second, level = starts[some], hashes[some], places[some], second[some], level[some]
                 full = sequence_hashes(words, starts, window)
                 doc = np.searchsorted(block.bounds, starts, side="right") - 1
-                local = (starts - block.bounds[doc]).astype(np.int32)
-                hot = np.flatnonzero(kind == 2)
-                if len(hot):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(hot), bool)), pa.array(mix(full[hot] ^ mix(hashes[hot])).view(np.int64)), pa.array(keys[block.first + doc[hot]]), pa.array(local[hot]), pa.nulls(len(hot), pa.binary())], names=names)
-                cold = np.flatnonzero(kind == 1)
-                if len(cold):
-                    edge = np.flatnonzero(np.append(True, places[cold[1:]] != places[cold[:-1]]))
-                    first = cold[edge]
-                    offsets = np.append(edge, len(cold)).astype(np.int32) * 8
-                    data = pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(full[cold]))])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(edge), bool)), pa.array(hashes[first].view(np.int64)), pa.array(keys[block.first + doc[first]]), pa.array(local[first]), data], names=names)
-
-    return rows.mapInArrow(run, "hot boolean, route long, key long, start int, hashes binary")
-
-
-def factored(route: np.ndarray, run_of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors of a block's windows, which lie run after run: first window, number of windows, and reference window of each.
-
-    route, run_of and hashes have one entry a window; a window's reference is the first other one of its block that is equal to it.
+                fresh = np.append(True, (places[1:] != places[:-1]) | (second[1:] != second[:-1]) | (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1]))
+                first = np.flatnonzero(fresh)
+                offsets = np.append(first, len(starts)).astype(np.int32) * 8
+                data = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(full))])
+                local = (starts[first] - block.bounds[doc[first]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(level[first].astype(np.int32)), pa.array(hashes[first].view(np.int64)), pa.array(keys[block.first + doc[first]]), pa.array(local), data], names=names)
+        freed()
+
+    return rows.mapInArrow(run, "level int, route long, key long, start int, hashes binary")
+
+
+class Reference:
+    """A block's index: a suffix array over its windows, which lie run after run. Suffixes end with their run."""
+
+    def __init__(self, route: np.ndarray, run_of: np.ndarray, hashes: np.ndarray) -> None:
+        """One entry a window: its run's route, its run, and its hash."""
+        n = len(hashes)
+        self.left = np.zeros(n, np.int64)  # windows from here to the run's end
+        if n:
+            ends = np.append(np.flatnonzero(run_of[1:] != run_of[:-1]) + 1, n)
+            self.left = ends[np.searchsorted(ends, np.arange(n), side="right")] - np.arange(n)
+        _, rank = np.unique(mix(hashes ^ mix(route + np.uint64(5))), return_inverse=True)
+        self.ranks, width = [rank], 1
+        while (self.left > width).any():
+            # the rank of twice as many windows, from the ranks of both halves; a run's end comes before all
+            rest = np.zeros(n, np.int64)
+            on = np.flatnonzero(self.left > width)
+            rest[on] = rank[on + width] + 1
+            _, rank = np.unique(rank * (n + 1) + rest, return_inverse=True)
+            self.ranks.append(rank)
+            width *= 2
+        self.order = np.argsort(rank, kind="stable")
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        between = self.common(self.order[:-1], self.order[1:]) if n else np.zeros(0, np.int64)
+        before, after = np.append(0, between), np.append(between, 0)
+        neighbour = np.where(after > before, np.append(self.order[1:], -1) if n else self.order, np.append(-1, self.order[:-1]) if n else self.order)
+        self.longest, self.match = np.empty(n, np.int64), np.empty(n, np.int64)
+        self.longest[self.order], self.match[self.order] = np.maximum(before, after), neighbour
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many windows from x on follow from y on as well, inside their runs."""
+        x, y = x.copy(), y.copy()
+        most = np.minimum(self.left[x], self.left[y])
+        out = np.zeros(len(x), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            width = 1 << k
+            # a rank compares whole spans only where both have that many windows left
+            can = np.flatnonzero(most - out >= width)
+            same = can[self.ranks[k][x[can] + out[can]] == self.ranks[k][y[can] + out[can]]]
+            out[same] += width
+        return out
+
+
+def parsed(reference: Reference, first: np.ndarray, count: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The factors of all runs (first window and number of windows of each): first window, number of windows, and the window that matches the first one.
+
+    All runs are parsed in step. A match of m windows has m + window - 1 words.
     """
-    n = len(hashes)
-    order = np.lexsort((np.arange(n), hashes, route))
-    same = (route[order[1:]] == route[order[:-1]]) & (hashes[order[1:]] == hashes[order[:-1]])
-    group = np.append(0, np.cumsum(~same)) if n else np.zeros(0, np.int64)
-    begin = np.flatnonzero(np.append(True, ~same)) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(begin, n))
-    reference = np.full(n, -1, np.int64)
-    first = order[begin]
-    reference[order] = first[group]
-    several = size > 1
-    reference[first] = -1
-    reference[first[several]] = order[begin[several] + 1]
-    copied = reference >= 0
-    on = np.zeros(n, bool)
-    if n:
-        on[1:] = copied[1:] & copied[:-1] & (run_of[1:] == run_of[:-1]) & (reference[1:] == reference[:-1] + 1) & (run_of[reference[1:]] == run_of[reference[:-1]])
-    starts = np.flatnonzero(copied & ~on)
-    number = np.append(0, np.cumsum(copied))
-    ends = np.append(starts[1:], n)
-    return starts, number[ends] - number[starts], reference[starts]
+    starts, lengths = [], []
+    at, end = first.copy(), first + count
+    while len(at):
+        found = reference.longest[at]
+        hit = np.flatnonzero(found)
+        starts.append(at[hit])
+        lengths.append(found[hit])
+        # windows that begin in a factor and end behind it
+        behind = np.minimum(at[hit] + found[hit] + window - 1, end[hit])
+        edge = behind - (at[hit] + found[hit])
+        over = np.repeat(at[hit] + found[hit] - (np.cumsum(edge) - edge), edge) + np.arange(edge.sum())
+        over = over[reference.longest[over] > 0]
+        starts.append(over)
+        lengths.append(np.ones(len(over), np.int64))
+        at = np.where(found > 0, at + found + window - 1, at + 1)
+        more = at < end
+        at, end = at[more], end[more]
+    where = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return where, (np.concatenate(lengths) if lengths else where), reference.match[where]
+
+
+def _window_hashes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all runs' windows one after the other, and how many each run has."""
+    data, offsets = buffers(column)
+    return np.ascontiguousarray(data[offsets[0] : offsets[-1]]).view(np.uint64), np.diff(offsets) // 8
+
+
+def _block_factors(block: pa.Table, window: int) -> pa.RecordBatch:
+    route, key, start = (block.column(c).to_numpy() for c in ("route", "key", "start"))
+    hashes, lengths = _window_hashes(block.column("hashes"))
+    run_of = np.repeat(np.arange(len(lengths)), lengths)
+    first = np.cumsum(lengths) - lengths
+    where, count, match = parsed(Reference(route.view(np.uint64)[run_of], run_of, hashes), first, lengths, window)
+    at = lambda w: (pa.array(key[run_of[w]]), pa.array((start[run_of[w]] + w - first[run_of[w]]).astype(np.int32)))
+    return pa.RecordBatch.from_arrays([*at(where), pa.array((count + window - 1).astype(np.int32)), *at(match)], names=["key", "start", "length", "ref_key", "ref_start"])
 
 
 def _parse(runs: DataFrame, window: int) -> DataFrame:
-    """Factors of all runs against their blocks: (key, start, length in words, ref_key, ref_start)."""
+    """Factors of all runs against their blocks: (key, start, length in words, ref_key, ref_start). No route may have more than MOST_RUNS runs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held.append(table)
+            size += len(table)
+            if size < MOST_RUNS:
+                continue
+            # the last route may go on in the next batch
+            whole = pa.concat_tables(held)
+            route = whole.column("route").to_numpy()
+            done = int(np.searchsorted(route, route[-1], side="left"))
+            if done:
+                yield _block_factors(whole.slice(0, done), window)
+            held, size = [whole.slice(done)], len(whole) - done
+        if size:
+            yield _block_factors(pa.concat_tables(held), window)
+        held.clear()
+        freed()
+
+    dealt = runs.select("route", "key", "start", "hashes").repartition("route").sortWithinPartitions("route")
+    return dealt.mapInArrow(run, "key long, start int, length int, ref_key long, ref_start int")
+
+
+def _single_windows(runs: DataFrame) -> DataFrame:
+    """(route: the window's content, key, start) of every window of the runs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        block = pa.Table.from_batches(held).combine_chunks()
-        route, key, start = (block.column(c).to_numpy() for c in ("route", "key", "start"))
-        raw = block.column("hashes").combine_chunks() if block.num_rows else pa.array([], pa.binary())
-        hashes = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in raw]) if len(raw) else np.zeros(0, np.uint64)
-        lengths = np.array([len(x.as_buffer()) // 8 for x in raw], np.int64)
-        run_of = np.repeat(np.arange(len(raw)), lengths)
-        first, count, reference = factored(route[run_of], run_of, hashes)
-        inside = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        at = lambda w: (key[run_of[w]], (start[run_of[w]] + inside[w]).astype(np.int32))
-        (k, s), (rk, rs) = at(first), at(reference)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.array((count + window - 1).astype(np.int32)), pa.array(rk), pa.array(rs)], names=["key", "start", "length", "ref_key", "ref_start"])
-
-    return runs.select("route", "key", "start", "hashes").repartition("route").mapInArrow(run, "key long, start int, length int, ref_key long, ref_start int")
-
-
-def duplicate_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
+        for batch in batches:
+            key, start, route, raw = (batch.column(c) for c in ("key", "start", "route", "hashes"))
+            hashes, lengths = _window_hashes(raw)
+            inside = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            own = mix(hashes ^ mix(np.repeat(route.to_numpy().view(np.uint64), lengths)))
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.repeat(key.to_numpy(), lengths)), pa.array((np.repeat(start.to_numpy(), lengths) + inside).astype(np.int32))], names=["route", "key", "start"])
+
+    return runs.select("route", "key", "start", "hashes").mapInArrow(run, "route long, key long, start int")
+
+
+def duplicate_spans(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, most_runs: int = MOST_RUNS) -> DataFrame:
     """(key, spans: starts and ends in words, overlapping) of rows (key, text), for keys with any. rows are read more than once and must have stable keys."""
+    several = lambda df, column: df.groupBy(column).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     anchors = written(_anchors(rows, window, anchor), "anchors")
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    place = (2 * F.col("pos") + (F.col("k") > hot).cast("int")).alias("place")
+    # written, so that a frequent anchor's rows can be split where the two are joined
+    repeated = written(several(anchors, "anchor"), "repeated")
+    place = (2 * F.col("pos") + (F.col("k") > most_runs).cast("int")).alias("place")
     places = written(anchors.join(repeated, "anchor").select("key", place).groupBy("key").agg(F.collect_list("place").alias("places")), "places")
     own = places.withColumnRenamed("key", "__key")
     met = rows.join(own, F.col("key") == F.col("__key")).select("key", "text", "places")
     runs = written(_runs(met, window, anchor), "runs")
-    factors = _parse(runs.where("not hot"), window).select("key", "start", (F.col("start") + F.col("length")).alias("end"))
-    single = runs.where("hot").select("route", "key", "start")
-    more = single.groupBy("route").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("route")
-    counted = single.join(more, "route").select("key", "start", (F.col("start") + window).alias("end"))
-    return written(factors.union(counted).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    spent(anchors, repeated, places)
+    factors = _parse(runs.where("level = 1"), window).select("key", "start", (F.col("start") + F.col("length")).alias("end"))
+    finer = runs.where("level = 2").drop("level")
+    left = [runs]
+    if not finer.isEmpty():
+        sizes = written(several(finer, "route").withColumnRenamed("route", "__route"), "routes")
+        dealt = lambda rule: finer.join(sizes.where(rule), F.col("route") == F.col("__route")).drop("__route", "k")
+        second = _parse(dealt(f"k <= {most_runs}"), window).select("key", "start", (F.col("start") + F.col("length")).alias("end"))
+        # a block of one window's copies needs no index: each is a factor of one window
+        alike = written(_single_windows(dealt(f"k > {most_runs}")), "windows")
+        copied = written(several(alike, "route").select(F.col("route").alias("__route")), "copied")
+        third = alike.join(copied, F.col("route") == F.col("__route")).select("key", "start", (F.col("start") + window).alias("end"))
+        factors = factors.union(second).union(third)
+        left += [sizes, alike, copied]
+    out = written(factors.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    spent(*left)
+    return out
 
 
 def _covered(batch: pa.RecordBatch, block: Block, spans: str) -> np.ndarray:
@@ -197,16 +304,11 @@ def _covered(batch: pa.RecordBatch, block: Block, spans: str) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def with_kept(df: DataFrame, text: str = "text", window: int = WINDOW, stable: bool = False) -> DataFrame:
-    """df with n_words, n_removed and kept (the words left, joined by one blank); columns of these names are replaced.
-
-    stable: df is a plain read of files, whose rows come in the same order each
-    time. Otherwise it is written to the shared folder first.
-    """
-    keyed = df.withColumn("key", F.monotonically_increasing_id())
-    keyed = keyed if stable else written(keyed, "documents")
-    spans = duplicate_spans(keyed.select("key", F.col(f"`{text}`").alias("text")), window)
-    rows = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), F.col("key") == F.col("__key"), "left").drop("__key")
+def with_kept(df: DataFrame, text: str = "text", window: int = WINDOW, most_runs: int = MOST_RUNS) -> DataFrame:
+    """df with n_words, n_removed and kept (the words left, joined by one blank); columns of these names are replaced, all others stay."""
+    keyed = numbered(df, KEY)
+    spans = duplicate_spans(keyed.select(F.col(KEY).alias("key"), F.col(f"`{text}`").alias("text")), window, most_runs=most_runs)
+    rows = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), F.col(KEY) == F.col("__key"), "left").drop("__key")
     fields = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -222,10 +324,10 @@ def with_kept(df: DataFrame, text: str = "text", window: int = WINDOW, stable: b
                 kept.append(b" ".join([raw[starts[i] : ends[i]] for i in (np.flatnonzero(stay[a:b]) + a).tolist()]).decode())
         return [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
 
-    return with_columns(rows, fields, compute).drop("key", "__spans")
+    return with_columns(rows, fields, compute).drop(KEY, "__spans")
 
 
 def op4(docs: DataFrame) -> DataFrame:
-    kept = with_kept(docs.select("doc_id", "text"), stable=True)
+    kept = with_kept(docs.select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
