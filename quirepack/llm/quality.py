@@ -15,8 +15,12 @@ bins, so medians and h-subsets come from exact, bounded histograms, sums are
 exact decimals, and results do not depend on how rows are dealt to tasks.
 
 Nulls: a null text has no words and fails the base rules; null languages and
-sources form groups of their own. Groups of fewer than MIN_GROUP distinct vectors
-have no estimate: the base rules alone decide there. Repeated rows are judged alike.
+sources form groups of their own. A group of fewer than MIN_GROUP distinct vectors,
+too few for an estimate of its own, is judged by that of its parent, fitted by the
+same steps: its language over all sources, and where that is too small as well, all
+rows. Only a table with fewer than MIN_GROUP distinct vectors altogether has no
+estimate; the base rules alone decide there. Repeated rows are judged alike. Columns
+of the input named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -200,21 +204,74 @@ def _least(model: DataFrame, keys: list[str]) -> DataFrame:
     return cut(model.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(size, F.col("__start"))).alias("b")).select(*keys, "b.*"))
 
 
+def _same(left: DataFrame, right: DataFrame, keys: list[str], names: list[str]) -> list[Column]:
+    return [left[k].eqNullSafe(right[n]) for k, n in zip(keys, names)]
+
+
+def _renamed(df: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return df.select(*(F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)), *more)
+
+
+def _populations(vectors: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The vectors to fit, by __depth and keys (null beyond the depth), and the depth at which each group of keys is judged.
+
+    A group that is too small for an estimate at one depth goes to its parent at the next.
+    """
+    names = [f"__r{i}" for i in range(len(keys))]
+    groups = cut(vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
+    left, fitted, judged = groups.where(F.col("__n") < MIN_GROUP).drop("__n"), [], []
+    large = groups.where(F.col("__n") >= MIN_GROUP).drop("__n")
+    for depth in range(len(keys), -1, -1):
+        own = keys[:depth]
+        if depth < len(keys):
+            wanted = _renamed(left.select(*own).distinct(), own) if own else None
+            some = vectors.join(wanted, _same(vectors, wanted, own, names), "left_semi") if own else vectors
+            some = cut(some.select(*own, *FEATURES).distinct())
+            sizes = cut(some.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")))
+            good = sizes.where(F.col("__n") >= MIN_GROUP).drop("__n") if own else sizes.where(F.col("__n") >= MIN_GROUP)
+            if own:
+                of = _renamed(good, own)
+                large = left.join(of, _same(left, of, own, names), "left_semi")
+                left = cut(left.join(of, _same(left, of, own, names), "left_anti"))
+                some = some.join(of, _same(some, of, own, names), "left_semi")
+            else:
+                large = left if good.count() else left.limit(0)
+                some = some if good.count() else some.limit(0)
+        else:
+            of = _renamed(large, own)
+            some = vectors.join(of, _same(vectors, of, own, names), "left_semi")
+        blank = [F.lit(None).cast(vectors.schema[k].dataType).alias(k) for k in keys[depth:]]
+        fitted.append(some.select(F.lit(depth).alias("__depth"), *own, *blank, *FEATURES))
+        judged.append(large.select(F.lit(depth).alias("__depth"), *keys))
+        if left.isEmpty():
+            break
+    whole, places = fitted[0], judged[0]
+    for x, y in zip(fitted[1:], judged[1:]):
+        whole, places = whole.unionByName(x), places.unionByName(y)
+    return cut(whole), cut(places)
+
+
 def fit(rows: DataFrame, keys: list[str], steps: int = STEPS) -> tuple[DataFrame, int]:
-    """MCD estimates per group from rows with the keys and FEATURES, and their number."""
+    """The MCD estimate by which each group is judged, from rows with the keys and FEATURES; and the number of groups."""
     p = len(FEATURES)
-    vectors = cut(rows.select(*keys, *FEATURES).distinct())
-    sizes = cut(vectors.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= MIN_GROUP))
-    count = sizes.count()
+    vectors, places = _populations(cut(rows.select(*keys, *FEATURES).distinct()), keys)
+    deep, count = ["__depth", *keys], places.count()
+    sizes = vectors.select(*deep).distinct()
     if not count:
-        return _factored(sizes.withColumns({f"m_{i}": F.lit(0.0) for i in range(p)} | {f"c_{i}_{j}": F.lit(1.0) for i in range(p) for j in range(i + 1)}), p), 0
-    model = _starts(vectors, sizes, keys, count)
+        blank = places.select(*keys)
+        return _factored(blank.withColumns({f"m_{i}": F.lit(0.0) for i in range(p)} | {f"c_{i}_{j}": F.lit(1.0) for i in range(p) for j in range(i + 1)}), p), 0
+    model = _starts(vectors, sizes, deep, count)
     for step in range(steps):
         if step == SEARCH_STEPS:
-            model = _least(model, keys)
-        model = _concentrated(vectors, model, keys, count)
-    inner = with_distance(vectors, _least(model, keys), keys, count).where(F.col("d2") <= chi_square(RIM, p))
-    return _estimate(inner, keys, RIM), count
+            model = _least(model, deep)
+        model = _concentrated(vectors, model, deep, count)
+    inner = with_distance(vectors, _least(model, deep), deep, count).where(F.col("d2") <= chi_square(RIM, p))
+    model = _estimate(inner, deep, RIM)
+    # each group with the estimate of its depth: the model's keys are null beyond that
+    names = [f"__r{i}" for i in range(len(keys))]
+    own = model.withColumnsRenamed({"__depth": "__d", **dict(zip(keys, names))})
+    at = [places["__depth"] == own["__d"], *(F.when(places["__depth"] > i, places[k]).eqNullSafe(own[n]) for i, (k, n) in enumerate(zip(keys, names)))]
+    return cut(places.join(F.broadcast(own) if count <= MAX_BROADCAST_GROUPS else own, at).drop("__d", *names)), count
 
 
 def judge(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "source"), cutoff: float | None = None, fitted: DataFrame | None = None) -> DataFrame:
@@ -225,8 +282,9 @@ def judge(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "s
     rows = with_features(with_statistics(df, text) if fitted is None else fitted)
     usable = rows.where(~F.col("base_failed")).select(*keys, *FEATURES)
     model, count = fit(usable, list(keys))
+    model = model if "__depth" in model.columns else model.withColumn("__depth", F.lit(None).cast("int"))
     far = F.coalesce(F.col("d2") > (MARGIN * chi_square(QUANTILE, len(FEATURES)) if cutoff is None else cutoff), F.lit(False))
-    return with_distance(rows, model, list(keys), count).withColumn("kept", ~F.col("base_failed") & ~far).drop(*FEATURES)
+    return with_distance(rows, model, list(keys), count, ("__depth",)).withColumn("kept", ~F.col("base_failed") & ~far).withColumnRenamed("__depth", "estimate_depth").drop(*FEATURES)
 
 
 def op10(docs: DataFrame) -> DataFrame:
