@@ -6,8 +6,10 @@ far the search may move without passing a window; where it may not move at all,
 the full block hash selects the windows that end in this block, and their words
 are compared directly. Positions of many stretches of text move in step in numpy.
 
-The benchmark is sent to the executors only in blocks of at most BLOCK_CHARS
-characters; a larger one is searched block by block, each over all documents.
+The benchmark is sent to the executors only in blocks of at most BLOCK_BYTES bytes of
+text (some 16 times that as tables, flat arrays), whatever its items' ids and lengths
+are: longer items are cut between words. A larger benchmark is searched block by block,
+each over all documents.
 
 Nulls: a null text has no words and is not contaminated; benchmark items without
 words give no windows; null item ids are named "null". Repeated items with one id
@@ -16,6 +18,8 @@ count once. An empty benchmark hits nothing.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
 from .arrowmap import with_columns
-from .shared import written
-from .textscan import ALNUM_LOWER, Block, blocks, mix
+from .shared import spent, written
+from .textscan import ALNUM_LOWER, Block, blocks, mix, sequence_hashes
 
 WINDOW = 13
-BLOCK_CHARS = 32 << 20
+BLOCK_BYTES = 4 << 20
 STRETCH = 2048
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -41,23 +45,56 @@ def block_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-class Searcher:
-    """Shift table, suffix buckets and windows of one length."""
+class Patterns:
+    """A block of benchmark items: their words, joined by single blanks in flat, and where they begin and end there."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        parts, sizes, hashed, counts = [], [], [], []
+        for block in blocks(pa.array(texts, pa.large_string()), ALNUM_LOWER):
+            words = [block.word(i) for i in range(len(block.starts))]
+            parts.extend(words)
+            sizes.append(block.ends - block.starts)
+            hashed.append(block.hashes())
+            counts.append(np.diff(block.bounds))
+        none = [np.zeros(0, np.int64)]
+        self.flat = b" ".join(parts)
+        lengths = np.concatenate(sizes or none)
+        self.ends = np.cumsum(lengths + 1) - 1
+        self.starts = self.ends - lengths
+        self.hashes = np.concatenate(hashed or [np.zeros(0, np.uint64)])
+        self.bounds = np.append(0, np.cumsum(np.concatenate(counts or none)))
+
+    def window(self, first: int, length: int) -> bytes:
+        return self.flat[self.starts[first] : self.ends[first + length - 1]]
 
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], list[int]], hashed: np.ndarray) -> None:
-        self.length, self.block = length, min(2, length)
-        self.windows = list(windows.items())
-        bits = max(12, int(64 * len(self.windows)).bit_length())
+
+class Searcher:
+    """Shift table, suffix buckets and windows of one length, as flat arrays: about 60 bytes a window."""
+
+    def __init__(self, patterns: Patterns, length: int, items: np.ndarray) -> None:
+        """items: those whose windows have this length."""
+        self.patterns, self.length, self.block = patterns, length, min(2, length)
+        counts = patterns.bounds[items + 1] - patterns.bounds[items] - length + 1
+        begin = np.cumsum(counts) - counts
+        at = np.repeat(patterns.bounds[items] - begin, counts) + np.arange(counts.sum())
+        own = np.repeat(items, counts)
+        # equal windows are one, with the items that have them
+        _, same = np.unique(sequence_hashes(patterns.hashes, at, length), return_inverse=True)
+        pair = np.unique(same * (len(patterns.bounds) + 1) + own)
+        which, self.items = pair // (len(patterns.bounds) + 1), (pair % (len(patterns.bounds) + 1)).astype(np.int32)
+        self.item_bounds = np.searchsorted(which, np.arange(int(same.max()) + 2))
+        first = np.full(int(same.max()) + 1, -1, np.int64)
+        first[same[::-1]] = at[::-1]
+        bits = max(12, int(16 * len(first)).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.far = length - self.block + 1
-        self.shift = np.full(1 << bits, self.far, np.int32)
-        ends = np.stack([block_hashes(row, self.block) for row in hashed])
-        for at in range(self.block - 1, length):
-            np.minimum.at(self.shift, (ends[:, at] & self.mask).astype(np.int64), length - 1 - at)
-        self.buckets: dict[int, list[int]] = {}
-        for i, h in enumerate(ends[:, -1]):
-            self.buckets.setdefault(int(h), []).append(i)
-        self.suffixes = np.sort(np.fromiter(self.buckets, np.uint64, len(self.buckets)))
+        self.shift = np.full(1 << bits, self.far, np.int16)
+        ends = block_hashes(patterns.hashes, self.block)
+        for k in range(self.block - 1, length):  # from far to near, so the least shift stays
+            self.shift[(ends[first + k] & self.mask).astype(np.int64)] = length - 1 - k
+        suffix = ends[first + length - 1]
+        order = np.argsort(suffix, kind="stable")
+        self.suffixes, self.windows, self.first = suffix[order], order.astype(np.int32), first.astype(np.int32)
 
     def candidates(self, block: Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word places where a window may end, by shifting; and the block hashes there."""
@@ -88,38 +125,53 @@ class Searcher:
         return at, ends[at]
 
     def occurrences(self, block: Block, words: np.ndarray):
+        """(first word, items) of each place where a window stands."""
         at, ends = self.candidates(block, words)
-        for i, h in zip(at.tolist(), ends.tolist()):
+        low, high = np.searchsorted(self.suffixes, ends, "left").tolist(), np.searchsorted(self.suffixes, ends, "right").tolist()
+        for i, a, b in zip(at.tolist(), low, high):
             first = i - self.length + 1
-            text = None
-            for k in self.buckets[h]:
-                window, items = self.windows[k]
-                text = text or tuple(block.word(j) for j in range(first, i + 1))
-                if text == window:
-                    yield first, items
+            text = b" ".join(block.word(j) for j in range(first, i + 1))
+            for w in self.windows[a:b].tolist():
+                if self.patterns.window(self.first[w], self.length) == text:
+                    yield first, self.items[self.item_bounds[w] : self.item_bounds[w + 1]]
                     break
 
 
 def searchers(texts: list[str | None], window: int = WINDOW) -> list[Searcher]:
     """Tables for the windows of the given items, by window length; item numbers are places in texts."""
-    by: dict[int, tuple[dict[tuple[bytes, ...], list[int]], list[np.ndarray]]] = {}
-    item = 0
-    for block in blocks(pa.array(texts, pa.large_string()), ALNUM_LOWER):
-        hashed = block.hashes()
-        for d in range(block.docs):
-            a, b = int(block.bounds[d]), int(block.bounds[d + 1])
-            words = block.words(d)
-            length = min(window, b - a)
-            for k in range(b - a - length + 1 if length else 0):
-                own, rows = by.setdefault(length, ({}, []))
-                key = tuple(words[k : k + length])
-                if key not in own:
-                    own[key] = []
-                    rows.append(hashed[a + k : a + k + length])
-                if item not in own[key]:
-                    own[key].append(item)
-            item += 1
-    return [Searcher(length, own, np.stack(rows)) for length, (own, rows) in sorted(by.items())]
+    patterns = Patterns(texts)
+    lengths = np.minimum(np.diff(patterns.bounds), window)
+    return [Searcher(patterns, int(n), np.flatnonzero(lengths == n)) for n in np.unique(lengths) if n]
+
+
+def packed(rows: Iterable[tuple[str, str]], most: int, window: int) -> Iterator[tuple[list[str], list[str]]]:
+    """Ids and texts of blocks of at most so many bytes of text; an item with more is cut between words, with every window whole in some part."""
+    ids, texts, size = [], [], 0
+    for name, text in rows:
+        for part in _parts(text, most, window):
+            n = len(part.encode())
+            if ids and size + n > most:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(name)
+            texts.append(part)
+            size += n
+    if ids:
+        yield ids, texts
+
+
+def _parts(text: str, most: int, window: int) -> Iterator[str]:
+    if len(text.encode()) <= most:
+        yield text
+        return
+    (block,) = blocks(pa.array([text], pa.large_string()), ALNUM_LOWER)
+    n, first = len(block.starts), 0
+    while first == 0 or first + window <= n:
+        last = max(first + window, int(np.searchsorted(block.ends, block.starts[first] + most, side="right"))) if n else 0
+        yield block.raw[block.starts[first] : block.ends[min(last, n) - 1]].tobytes().decode() if n else ""
+        if last >= n:
+            return
+        first = last - window + 1
 
 
 FIELDS = [StructField("n_words", LongType()), StructField("hit_words", ArrayType(IntegerType())), StructField("hit_items", ArrayType(StringType()))]
@@ -143,7 +195,7 @@ def _scan(df: DataFrame, text: str, ids: list[str], tables: list[Searcher], befo
                 for first, which in table.occurrences(block, words):
                     hit[first] += 1
                     hit[first + table.length] -= 1
-                    found.setdefault(int(np.searchsorted(block.bounds, first, side="right")) - 1, set()).update(which)
+                    found.setdefault(int(np.searchsorted(block.bounds, first, side="right")) - 1, set()).update(which.tolist())
             covered = np.cumsum(hit[:-1]) > 0
             for d in range(block.docs):
                 a, b = block.bounds[d], block.bounds[d + 1]
@@ -160,20 +212,21 @@ def _scan(df: DataFrame, text: str, ids: list[str], tables: list[Searcher], befo
     return out.drop("__hit", "__items")
 
 
-def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """df with n_words, hit_words (places of words inside any window) and hit_items (sorted ids); columns of these names are replaced."""
-    bench = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
-    chars = bench.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    parts = 1 + chars // block_chars
-    if parts > 1:
-        bench = written(bench, "benchmark")
-    for k in range(parts):
-        own = bench if parts == 1 else bench.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == k)
-        rows = own.collect()
-        df = _scan(df, text, [r["id"] for r in rows], searchers([r["t"] for r in rows], window), before=k > 0)
-        if k + 1 < parts:
-            df = written(df, "scanned")
-    return df
+    bench = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("t"))
+    # a partition of the benchmark at a time comes to the driver, a block at a time is kept
+    parts = packed(((r["id"], r["t"]) for r in bench.toLocalIterator()), block_bytes, window)
+    out, kept, n = df, None, 0
+    for ids, texts in parts:
+        if n:
+            table = written(out, "scanned")
+            if kept is not None:
+                spent(kept)
+            out = kept = table
+        out = _scan(out, text, ids, searchers(texts, window), before=n > 0)
+        n += 1
+    return out if n else _scan(df, text, [], [], before=False)
 
 
 def contaminated(n_words="n_words", hits="hit_words"):
