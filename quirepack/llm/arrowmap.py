@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from .shared import freed
@@ -39,5 +40,14 @@ def published(folder: str, name: str, parts: Iterator[bytes]) -> None:
     fs.move(hidden, f"{root}/{name}")
 
 
+def stored(spark: SparkSession, folder: str, pattern: str, manifest: DataFrame) -> DataFrame:
+    """(file, content) of the files in a folder, after a look at their names: one that the manifest (file) has and the folder has not is an error."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(uri(folder)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    gone = manifest.select("file").join(found.select("file"), "file", "left_anti").first()
+    if gone:
+        raise FileNotFoundError(f"{folder} has no file {gone[0]}")
+    return found
+
+
 def uri(folder: str) -> str:
     return folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
 from .arrowmap import with_columns
 from .segments import SegmentIds
@@ -122,7 +122,8 @@ class PieceModel:
         ok = self.keys[place] == key
         return np.where(ok, self.ranks[place], _NONE), self.merged[place]
 
-    def encode_segments(self, segments: list[bytes]) -> list[bytes]:
+    def encode_segments(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all segments, one after the other, and each one's number of ids."""
         texts = [s.decode() for s in segments]
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
@@ -181,7 +182,7 @@ class PieceModel:
         for i in np.flatnonzero(again).tolist():
             first = self.symbol_of[flat[begin[i] : begin[i + 1]]].tolist()
             out[i] = np.array(self.final(self.one_by_one(first)), "<i4").tobytes()
-        return out
+        return np.frombuffer(b"".join(out), "<i4").astype(np.int32), np.fromiter(map(len, out), np.int64, len(out)) // 4
 
     def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of segments: texts, blanks after other than blanks, and both sides of bytes that stand alone."""
@@ -252,25 +253,30 @@ def encode(df: DataFrame, model: str, text: str = "text", decoded: bool = False)
     return with_columns(df, fields, compute)
 
 
-def digests(df: DataFrame, model: str, text: str = "text") -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded texts, without carrying ids or texts through the JVM."""
-    from pyspark.sql.types import LongType
-
-    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+def digests(df: DataFrame, model: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded texts, and ids if asked for; else neither ids nor texts go through the JVM."""
+    fields = [StructField("ids", ArrayType(IntegerType()))] * with_ids + [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         own = model_of(model)
-        counts, ids_hash, text_hash = [], [], []
+        counts, ids_hash, text_hash, ids = [], [], [], []
         for flat, offsets in own.encode(batch.column(text)):
             counts.extend(np.diff(offsets).tolist())
+            ids.extend([flat] * with_ids)
             data, at = buffers(own.decimals.take(pa.array(flat))) if len(flat) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
             view, ends = memoryview(data), at[offsets].tolist()
             ids_hash.extend(hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:]))
             text_hash.extend(hashlib.sha256(t).hexdigest() for t in own.decode(flat, offsets))
-        return [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
+        own_ids = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))] if with_ids else []
+        return own_ids + [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
 
     return with_columns(df, fields, compute)
 
 
+def encoded(docs: DataFrame, model: str) -> DataFrame:
+    """doc_id, ids, n_tokens and the digests of the ids and of the decoded text."""
+    return digests(docs.select("doc_id", "text"), model, with_ids=True).drop("text")
+
+
 def op8(docs: DataFrame, model: str) -> DataFrame:
     return digests(docs.select("doc_id", "text"), model).drop("text")

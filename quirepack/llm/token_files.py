@@ -9,14 +9,15 @@ File format (all numbers little-endian):
   u64 offset of the index  u64 documents  u64 ids  "QPIDSEND"
 
 The dictionary is trained on the serialized ids of the first documents of the
-file, TRAIN_BYTES at most (a bounded sample by design; too few documents give
-none), and shared by all its documents. A reader finds a document through the
+file, TRAIN_BYTES at most (a bounded sample by design; where they are too few to
+train on, their last bytes are the dictionary), and shared by all its documents. A reader finds a document through the
 index alone and checks the dictionary by its hash.
 
 Documents are range-partitioned by key, sorted, and written in ascending order,
 null keys first; equal keys follow each other by text hash. A null text has no
 ids but the end id. Files are moved into place whole, so repeated task attempts
-do no harm. Reading gives each document's place among all ids by adding the
+do no harm; files are read by the manifest that the write returns, and one that is
+gone or has another number of documents is an error. Reading gives each document's place among all ids by adding the
 totals of the files before its own.
 """
 
@@ -26,8 +27,8 @@ import hashlib
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .arrowmap import published, uri
-from .segments import SegmentIds
-from .shared import new_folder, written
+from .arrowmap import published, stored, uri
+from .dictionaries import dictionary, first_bytes, loaded
+from .segments import SegmentIds, gathered
+from .shared import freed, new_folder, written
 from .textscan import SPACED, blocks
 
 MAGIC, END = b"QPIDS1\0\0", b"QPIDSEND"
@@ -48,6 +50,10 @@ TRAIN_BYTES = 1 << 20
 DICT_BYTES = 32 << 10
 FILE_BYTES = 24 << 20
 LEVEL = 3
+#: Words whose ids a worker keeps (some 100 MB).
+WORDS_KEPT = 500_000
+#: Words of letters that are encoded as one text.
+TOGETHER = 24
 _LETTER, _MARK, _UPPER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _UPPER[0x41:0x5B] = True
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
@@ -64,12 +70,32 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("AZ") == "az"
-        self.cache = SegmentIds(self._encode)
+        self.word_end = np.zeros(self.size, bool)
+        self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.cache = SegmentIds(self._encode, WORDS_KEPT)
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+    def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # the fast form leaves out offsets, not ids
-        found = self.tokenizer.encode_batch_fast([w.decode().strip(" \t\n\v\f\r") for w in words], add_special_tokens=False)
-        return [array("i", x.ids).tobytes() for x in found]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.int32, int(counts.sum())), counts
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters below U+0100 are encoded some together: each has one id that ends a word, its last one. Others are encoded alone."""
+        texts = [w.strip().decode() for w in words]
+        plain = np.fromiter((t.isalpha() and (t.isascii() or max(t) < "\u0100") for t in texts), bool, len(texts))
+        letters, others = [texts[i] for i in np.flatnonzero(plain)], [texts[i] for i in np.flatnonzero(~plain)]
+        flat, _ = self._batch([" ".join(letters[i : i + TOGETHER]) for i in range(0, len(letters), TOGETHER)])
+        ends = np.flatnonzero(self.word_end[flat]) + 1
+        if len(ends) == len(letters):
+            sizes = np.diff(np.append(0, ends))
+        else:  # a vocabulary without marks of word ends
+            flat, sizes = self._batch(letters)
+        more, other_sizes = self._batch(others)
+        counts, starts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        counts[plain], counts[~plain] = sizes, other_sizes
+        starts[plain], starts[~plain] = np.cumsum(sizes) - sizes, len(flat) + np.cumsum(other_sizes) - other_sizes
+        return gathered(np.append(flat, more), starts, counts), counts
 
     def _folded(self, raw: np.ndarray) -> np.ndarray:
         """raw with A-Z in lower case where the tokenizer lower-cases anyway, so that both cases share a look-up.
@@ -111,20 +137,8 @@ def tokenizer_of(path: str) -> WordIds:
 
 def file_parts(documents: list[tuple[int | None, bytes]], width: int) -> Iterator[bytes]:
     """The bytes of one file."""
-    sample, size = [], 0
-    for _, ids in documents:
-        if size >= TRAIN_BYTES:
-            break
-        if ids:
-            sample.append(ids[: TRAIN_BYTES - size])
-            size += len(sample[-1])
-    trained = b""
-    if len(sample) >= 16:
-        try:
-            trained = zstandard.train_dictionary(min(DICT_BYTES, max(256, size // 8)), sample).as_bytes()
-        except zstandard.ZstdError:
-            trained = b""  # too little to train on
-    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+    trained = dictionary(first_bytes((ids for _, ids in documents), TRAIN_BYTES), DICT_BYTES)
+    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=loaded(trained))
     head = MAGIC + struct.pack("<II", width, len(trained)) + hashlib.sha256(trained).digest() + trained
     yield head
     at, total, index = len(head), 0, []
@@ -148,7 +162,7 @@ class IdFile:
         if hashlib.sha256(trained).digest() != bytes(self.data[16:48]):
             raise ValueError("the dictionary does not have its hash")
         self.index, self.count, self.total = struct.unpack("<QQQ", self.data[-32:-8])
-        self.unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+        self.unpacker = zstandard.ZstdDecompressor(dict_data=loaded(trained))
 
     def __len__(self) -> int:
         return self.count
@@ -195,6 +209,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "d
                 held.append((k, raw))
                 size += len(raw)
         flush()
+        freed()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64()), pa.array(totals, pa.int64())], ["file", "documents", "ids"])
 
     return written(ordered.select("key", "text").mapInArrow(run, "file string, documents long, ids long"), "id-manifest")
@@ -202,7 +217,7 @@ def write(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "d
 
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """Documents of the files: file, place (in its file), doc_id, start, n_tokens, ids_crc32 (of the ids as unsigned 32-bit numbers)."""
-    schema = "file string, place long, doc_id long, first long, n_tokens long, ids_crc32 long"
+    schema = "file string, in_file long, place long, doc_id long, first long, n_tokens long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,13 +230,14 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                 if at != file.total:
                     raise ValueError("a file has another number of ids than it says")
                 keys, firsts, counts, sums = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), pa.string()), pa.array(range(len(out)), pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], schema=pa.schema([("file", pa.string()), ("place", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(out), pa.string()), pa.array([len(out)] * len(out), pa.int64()), pa.array(range(len(out)), pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], schema=pa.schema([("file", pa.string()), ("in_file", pa.int64()), ("place", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]))
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(uri(folder)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    files = stored(spark, folder, "part-*.ids", manifest)
     documents = files.mapInArrow(run, schema)
     # a row for each file, not for each document
-    before = manifest.select(F.col("file").alias("__f"), F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    return documents.join(before, F.col("file") == F.col("__f")).withColumn("start", F.col("__base") + F.col("first")).drop("__f", "__base", "first")
+    before = manifest.select(F.col("file").alias("__f"), F.col("documents").alias("__n"), F.coalesce(F.sum("ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    checked = documents.join(before, F.col("file") == F.col("__f")).where(F.when(F.col("in_file") == F.col("__n"), True).otherwise(F.raise_error(F.concat(F.lit("an id file is not whole: "), F.col("__f"))).cast("boolean")))
+    return checked.withColumn("start", F.col("__base") + F.col("first")).select("file", "place", "doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

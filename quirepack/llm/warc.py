@@ -2,14 +2,18 @@
 
 Each file starts with a skippable frame (magic 0x184D2A5D) that holds a Zstandard
 dictionary built from the file's first records (TRAIN_BYTES at most, a bounded
-sample by design; none if there are too few), then has one zstd frame for each
+sample by design): trained on them, or made of their last bytes where they are too
+few to train on. Then it has one zstd frame for each
 record, so that a record can be read alone. Of equal payloads (SHA-1 and length)
 the row with the largest id is the response and the others are revisits of it.
 
 Nulls: a null payload is empty; null ids are written as "-", count below all
 others, and read back as null; a group in which all ids are null has only
 responses. Rows repeated with the largest id of their group are all responses.
-Files are moved into place whole, so repeated task attempts do no harm.
+Files are moved into place whole and read by the manifest that the write returns, so
+repeated task attempts, of whatever files, do no harm; a file of the manifest that is
+gone or has another number of records is an error. An empty table gives an empty
+manifest and no records. Columns other than key, url and payload are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrowmap import published, uri
-from .shared import new_folder, written
+from .arrowmap import published, stored, uri
+from .dictionaries import dictionary, first_bytes, loaded
+from .shared import freed, new_folder, written
 
 SKIPPABLE = 0x184D2A5D
 TRAIN_BYTES = 4 << 20
@@ -68,20 +73,9 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def file_parts(records: list[bytes]) -> Iterator[bytes]:
     """A file: the dictionary's frame, then a frame for each record."""
-    sample, size = [], 0
-    for x in records:
-        if size >= TRAIN_BYTES:
-            break
-        sample.append(x[: TRAIN_BYTES - size])
-        size += len(sample[-1])
-    trained = b""
-    if len(sample) >= 16:
-        try:
-            trained = zstandard.train_dictionary(min(DICT_BYTES, max(256, size // 8)), sample).as_bytes()
-        except zstandard.ZstdError:
-            trained = b""  # too little to train on
+    trained = dictionary(first_bytes(records, TRAIN_BYTES), DICT_BYTES)
     yield struct.pack("<II", SKIPPABLE, len(trained)) + trained
-    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+    packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=loaded(trained))
     for x in records:
         yield packer.compress(x)
 
@@ -93,7 +87,7 @@ def records(data) -> Iterator[bytes]:
     if magic != SKIPPABLE:
         raise ValueError("the file has no dictionary frame")
     trained = bytes(view[8 : 8 + n])
-    unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+    unpacker = zstandard.ZstdDecompressor(dict_data=loaded(trained))
     at = 8 + n
     while at < len(view):
         one, out, step = unpacker.decompressobj(), [], 16 << 10
@@ -146,14 +140,15 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
                 held.append(one)
                 size += len(one)
         flush()
+        freed()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["file", "records"])
 
     return written(rows.mapInArrow(run, "file string, records long"), "warc-manifest")
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of all archives in a folder: page_id, url, payload_bytes, payload_digest, record_type, refers_to. Digests of responses are computed from what was read and must agree with their header."""
-    names = [x.split()[0] for x in _COLUMNS.split(", ")]
+def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """Records of the manifest's archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to. Digests of responses are computed from what was read and must agree with their header."""
+    names = ["file", "in_file", *(x.split()[0] for x in _COLUMNS.split(", "))]
 
     def page(name: str | None) -> int | None:
         last = name and name.rstrip(">").rpartition(":")[2]
@@ -161,7 +156,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
+            for file, data in zip(batch.column(0), batch.column(1)):
                 out = []
                 for one in records(data.as_buffer()):
                     fields, block = parsed(one)
@@ -172,16 +167,22 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                             raise ValueError("a payload does not have its digest")
                     out.append((page(fields["warc-record-id"]), fields["warc-target-uri"], size, digest, fields["warc-type"], page(fields.get("warc-refers-to"))))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                columns = zip(*out) if out else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+                columns = list(zip(*out)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(out), pa.string()), pa.array([len(out)] * len(out), pa.int64()), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names=names)
+        freed()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(uri(folder)).select("content")
-    return files.mapInArrow(run, _COLUMNS)
+    files = stored(spark, folder, "part-*.warc.zst", manifest)
+    found = files.mapInArrow(run, f"file string, in_file long, {_COLUMNS}")
+    # files that a repeated task left behind are not in the manifest
+    own = found.join(manifest.select(F.col("file").alias("__f"), F.col("records").alias("__n")), F.col("file") == F.col("__f"))
+    checked = own.where(F.when(F.col("in_file") == F.col("__n"), True).otherwise(F.raise_error(F.concat(F.lit("an archive is not whole: "), F.col("__f"))).cast("boolean")))
+    return checked.drop("__f", "__n", "file", "in_file")
 
 
 def op5(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
-    if write(pages, folder).isEmpty():
+    manifest = write(pages, folder)
+    if manifest.isEmpty():
         return spark.createDataFrame([], _COLUMNS).drop("url")
-    return read(spark, folder).drop("url")
+    return read(spark, folder, manifest).drop("url")
