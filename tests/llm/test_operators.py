@@ -155,19 +155,14 @@ def test_moderate_symbols_and_table_junk_are_rejected(spark):
 
 
 def test_parity_bitmaps_never_differ_in_more_bits_than_the_sets():
-    import numpy as np
-
-    from quirepack.llm.jaccard import FOLDED, parities
-
     rng = np.random.default_rng(5)
-    pool = rng.integers(0, 2**64 - 1, 400, dtype=np.uint64, endpoint=True)
-    sets = [np.sort(rng.choice(pool, k, replace=False)) for k in (0, 1, 5, 60, 200, 350)]
-    words = [x.view(np.uint64).tolist() for x in parities(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])))]
+    pool = rng.integers(0, 2**64 - 1, 4000, dtype=np.uint64, endpoint=True)
+    sets = [np.sort(rng.choice(pool, k, replace=False)) for k in (0, 1, 5, 60, 200, 350, 1100, 3000)]
+    raw, ends, folds = jaccard.parities(np.concatenate(sets), np.append(0, np.cumsum([len(x) for x in sets])))
+    whole = [raw[a:b].view(np.uint64) for a, b in zip(ends[:-1], ends[1:])]
+    assert [len(w) * 64 for w in whole] == [256, 256, 256, 256, 256, 512, 2048, 4096]
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
             apart = len(set(x.tolist()) ^ set(y.tolist()))
-            whole = [w[i] ^ w[j] for w in words]
-            folded = [0] * FOLDED
-            for k, w in enumerate(whole):
-                folded[k % FOLDED] ^= w
-            assert sum(w.bit_count() for w in folded) <= sum(w.bit_count() for w in whole) <= apart
+            folded = int(np.bitwise_count((folds[i] ^ folds[j]).view(np.uint64)).sum())
+            assert folded <= jaccard.bits_apart(whole[i], whole[j]) <= apart == jaccard.shingles_apart(x, y)
