@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, licenses, pieces, pii, quality, sharding, substrings, token_files, warc
+from . import decontaminate, jaccard, licenses, oracles, pieces, pii, quality, sharding, substrings, token_files, warc
 
 SHARDS = 16
 
@@ -66,4 +66,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses.oracle()}
+    return {
+        "op1_jaccard_join": oracles.jaccard(),
+        "op2_decontamination": oracles.decontamination(),
+        "op3_sharding": oracles.sharding(SHARDS),
+        "op4_substring_dedup": oracles.substrings(),
+        "op5_warc": oracles.archives(),
+        "op6_license_scan": licenses.oracle(),
+    }

@@ -2,10 +2,12 @@
 
 import base64
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -13,7 +15,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 import brute  # noqa: E402
 
-from quirepack.llm import decontaminate, jaccard, licenses, pieces, pii, quality, sharding, substrings, token_files, warc  # noqa: E402
+from quirepack.llm import decontaminate, jaccard, licenses, pieces, pii, quality, queries, sharding, substrings, token_files, warc  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, kept long, __hit long"
 LONG = " ".join(f"l{i % 7001}" for i in range(20000))
@@ -392,3 +394,17 @@ def test_earlier_rules_take_sentences_from_later_ones(spark):
     both, one = ("Both", ["a", "b"]), ("One", ["a"])
     for rules, want in (([both, one], ["Both", "One"]), ([one, both], ["One"])):
         assert licenses.scan(frame(spark, [(1, text)]), rules=rules, sentences=sentences).first()["licenses"] == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    got = queries.queries()[name](spark, folder)
+    with duckdb.connect() as db:
+        for table in ("documents", "pages", "benchmark"):
+            db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+        want = db.sql(queries.oracle_sql()[name])
+        columns = sorted(got.columns)
+        assert sorted(want.columns) == columns
+        rows = lambda table: sorted(map(repr, table))
+        assert rows(map(tuple, got.select(*columns).collect())) == rows(want.select(", ".join(f'"{c}"' for c in columns)).fetchall())
