@@ -63,8 +63,8 @@ def test_substrings_removed(docs):
 
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(5, 25))), (2, "bob"), (3, None), (None, "!!")], "item_id long, text string")
-    for block in (1 << 20, 8):
-        got = {r["doc_id"]: (len(r["hit_words"]), list(r["hit_items"])) for r in decontaminate.find(docs, bench, block_chars=block).collect()}
+    for block in (1 << 20, 40):
+        got = {r["doc_id"]: (len(r["hit_words"]), list(r["hit_items"])) for r in decontaminate.find(docs, bench, block_bytes=block).collect()}
         assert got[5] == (20, ["1"]) and got[10] == (1, ["2"]) and got[1] == (0, [])
 
 
