@@ -58,6 +58,40 @@ TURTLE_SETTINGS = [
     ("i_num_start_fp", 2, None, 16),
     ("i_verbose", 0, 5, 0),
 ]
+#: What each setting does, for the full help.
+MEANINGS = {
+    "numiterations": "how many times matches are chosen anew with the costs of the last round",
+    "filter_style": "kept for old settings files; has no effect on plain data",
+    "skipdynamic": "blocks of up to so many bytes get no code tables of their own",
+    "trystatic": "blocks of fewer symbols are also tried with the standard tables; 0: never",
+    "noblocksplit": "inputs of fewer bytes stay one block",
+    "noblocksplitlz": "blocks of fewer symbols are not cut",
+    "num": "places tried in each round of the search for a cut",
+    "searchext": "how thoroughly the table header is searched, 0 least",
+    "reuse_costmodel": "1: a round begins with the costs of the one before",
+    "useCache": "1: matches found once are remembered; takes memory, saves time",
+    "multithreading": "threads inside the encoder; must be 0",
+    "isPNG": "tuning for images; must be 0",
+    "replaceCodes": "effort spent on writing short matches as plain bytes where that is smaller",
+    "twice": "1: cuts are searched a second time",
+    "ultra": "further refinement of the costs, 0 none",
+    "greed": "matches of this length or more are taken at once",
+    "entropysplit": "1: cuts are rated by entropy; 0: by lengths of codes",
+    "advanced": "1: tables and block headers are optimised further",
+    "i_compression_level": "effort; from 8 on with additional checks",
+    "i_maximum_block_size": "bytes of input that are worked on at a time",
+    "i_maximum_subblocks": "blocks that such a part may be cut into",
+    "i_max_block_splitter_iterations": "rounds that refine the cuts",
+    "i_max_internal_block_splitter_iterations": "cuts and joins tried in each of them",
+    "i_block_splitter_num_points": "places sampled in the coarse search for a cut",
+    "i_block_splitter_center_dist": "how far around the best of them the next search goes",
+    "i_block_splitter_min_range_for_points": "shorter ranges are searched place by place",
+    "b_block_splitter_push_split": "1: where nothing helps, one more cut is forced and kept if smaller",
+    "i_min_start_fp": "the least precision that costs start with",
+    "i_max_start_fp": "the greatest precision that costs start with",
+    "i_num_start_fp": "how many precisions between these are tried",
+    "i_verbose": "diagnostics, 0 none",
+}
 #: Effort of the fast encoder at levels 1 to 6.
 FAST_LEVELS = (1, 2, 3, 5, 6, 8)
 ZLIB_AFTER = 64 << 20
@@ -279,9 +313,10 @@ Without inputs, @* is taken. An archive name without extension gets .zip.
 
 
 def full_help() -> str:
-    lines = ["", "Settings, in a [1] ... [9] section of an INI file or on the command line:", "  --libdeflate_level N (1..12)", "  --zlib_after SIZE (off, or bytes with B, KiB, MiB, GiB)", "  --zlib_level N (1..9)"]
-    lines += [f"  --zopfli_{name} N ({low}..{high})" for name, low, high, _ in ECT_SETTINGS]
-    lines += [f"  --turtledeflate_{name} N ({low}..{'' if high is None else high})" for name, low, high, _ in TURTLE_SETTINGS]
+    lines = ["", "Settings, in the [1] ... [9] section of the level in an INI file or on the command line, which comes last.", "An encoder takes part if one of its settings is given; the smallest result is kept."]
+    lines += ["  --libdeflate_level N (1..12): effort of the fast encoder", "  --zlib_after SIZE (off, or bytes with B, KiB, MiB, GiB): inputs of this size and more go to zlib alone", "  --zlib_level N (1..9): zlib's effort"]
+    lines += [f"  --zopfli_{name} N ({low}..{high}): {MEANINGS[name]}" for name, low, high, _ in ECT_SETTINGS]
+    lines += [f"  --turtledeflate_{name} N ({low}..{'' if high is None else high}): {MEANINGS[name]}" for name, low, high, _ in TURTLE_SETTINGS]
     return HELP + "\n".join(lines) + "\n"
 
 

@@ -218,3 +218,10 @@ def test_ordinals_far_apart_fill_no_single_range(spark):
     got = [r["local_offset"] for r in member_offsets(rows).orderBy("ordinal").collect()]
     assert got == [43 * i for i in range(100)]
     assert [r["percent_hundredths"] for r in progress(rows).orderBy("ordinal").collect()] == [100 * (i + 1) for i in range(100)]
+
+
+def test_the_full_help_explains_every_setting():
+    lines = policy.full_help().splitlines()
+    for name in [f"--zopfli_{x[0]}" for x in policy.ECT_SETTINGS] + [f"--turtledeflate_{x[0]}" for x in policy.TURTLE_SETTINGS] + ["--libdeflate_level", "--zlib_after", "--zlib_level"]:
+        (line,) = [x for x in lines if x.split() and x.split()[0] == name]
+        assert len(line.partition("): ")[2]) > 10
