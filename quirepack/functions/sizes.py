@@ -20,6 +20,11 @@ def hint_bits(level: Column, stored: Column) -> Column:
     return F.when(stored, 0).otherwise(F.when(level <= 3, 6).when(level <= 6, 4).when(level <= 8, 0).otherwise(2))
 
 
+def task_cost(engine: str, size: int, block: int = 1_000_000) -> int:
+    """memory_cost of one task, for the driver."""
+    return {"fast": 3 * size + MIB, "ect": 8 * size + MIB, "turtle": 768 * block + 8 * MIB}.get(engine, 4 * MIB)
+
+
 def memory_cost(engine: Column, size: Column, block: int = 1_000_000) -> Column:
     """Bytes that a task is estimated to need."""
     return F.when(engine == "fast", 3 * size + MIB).when(engine == "ect", 8 * size + MIB).when(engine == "turtle", F.lit(768 * block + 8 * MIB)).otherwise(F.lit(4 * MIB)).cast("long")

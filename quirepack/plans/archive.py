@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirepack.functions.names import UTF8_FLAG, archive_name
-from quirepack.functions.sizes import hint_bits
+from quirepack.functions.sizes import hint_bits, task_cost
 from quirepack.operators.encode import race
 from quirepack.operators.entries import progress_totals, stored_copies
 from quirepack.operators.zip_file import Progress, write_archive
 from quirepack.plans.policy import Policy, PolicyError, beside_program, parse_arguments
+from quirepack.plans.resources import admitted, memory_budget, workers
 from quirepack.sources import files
+from quirepack.sources.files import SIZE_AT
 
 
 def policy_dict(policy: Policy) -> dict:
@@ -42,6 +44,17 @@ def text_members(documents: DataFrame, policy: Policy, level: int) -> DataFrame:
     return raced.withColumns({"raw_name": F.col("name").cast("binary"), "flags": flags, "mode": F.lit(0o100644).cast("long"), "mtime": F.lit(315_619_200.0)})
 
 
+def local_workers(spark: SparkSession, found: list[tuple], policy: Policy) -> int | None:
+    """Partitions for a run on this machine: as many tasks as its cores and memory take, by the estimated cost of the largest entries; None on a cluster."""
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        return None
+    budget = memory_budget()
+    engines = sorted(policy.engines) or ["zlib"]
+    dearest = sorted((max(task_cost(e, size) for e in engines) for size in (row[SIZE_AT] for row in found)), reverse=True)
+    return workers(min(context.defaultParallelism, admitted(dearest, budget)), len(found), budget)
+
+
 def run(spark: SparkSession, arguments: list[str], ini: str | None = None, search: tuple[str, ...] = (), codecs=None, created: str | None = None, show=None) -> tuple[str, int] | str:
     """Runs a command line; returns the archive's path and number of members, or a help text.
 
@@ -52,7 +65,7 @@ def run(spark: SparkSession, arguments: list[str], ini: str | None = None, searc
         return request
     path = archive_name(request.archive)
     found = files.discover(request.inputs, request.policy.recursive, request.literal_from, path)
-    entries = files.entries(spark, found)
+    entries = files.entries(spark, found, local_workers(spark, found, request.policy))
     # inputs for zlib alone are read a chunk at a time, whole ones only below that size
     alone = F.lit(False) if request.policy.zlib_after is None else F.col("size") >= request.policy.zlib_after
     raced = race(files.with_payload(entries.where(~alone)), policy_dict(request.policy), **({"codecs": codecs} if codecs else {}))

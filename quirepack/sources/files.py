@@ -23,6 +23,10 @@ from quirepack.operators.encode import CHUNK, DEFLATED, RACE_KINDS, RACE_NAMES,
 ENTRY_SCHEMA = "ordinal long, path string, raw_name binary, name string, name_len int, flags int, mode long, size long, mtime double, dev long, ino long, raw_path binary"
 
 
+#: The place of the size in a row of ENTRY_SCHEMA.
+SIZE_AT = [x.split()[0] for x in ENTRY_SCHEMA.split(", ")].index("size")
+
+
 class InputError(ValueError):
     """An input that cannot be archived."""
 

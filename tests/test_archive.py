@@ -225,3 +225,18 @@ def test_the_full_help_explains_every_setting():
     for name in [f"--zopfli_{x[0]}" for x in policy.ECT_SETTINGS] + [f"--turtledeflate_{x[0]}" for x in policy.TURTLE_SETTINGS] + ["--libdeflate_level", "--zlib_after", "--zlib_level"]:
         (line,) = [x for x in lines if x.split() and x.split()[0] == name]
         assert len(line.partition("): ")[2]) > 10
+
+
+def test_memory_and_workers(tmp_path):
+    from quirepack.plans import resources
+
+    for path, most, now in (("", "max", 5), ("a", 1000, 300), ("a/b", 900, 500)):
+        (tmp_path / path).mkdir(exist_ok=True)
+        (tmp_path / path / "memory.max").write_text(f"{most}\n")
+        (tmp_path / path / "memory.current").write_text(f"{now}\n")
+    (tmp_path / "cgroup").write_text("1:cpu:/x\n0::/a/b\n")
+    assert resources.group_memory(str(tmp_path / "cgroup"), str(tmp_path)) == 400
+    assert resources.group_memory(str(tmp_path / "none")) is None
+    assert resources.memory_budget() > 0
+    assert [resources.workers(8, t, b << 20) for t, b in ((3, 1000), (100, 128), (100, 1), (100, 10000))] == [3, 2, 1, 8]
+    assert [resources.admitted(c, 10) for c in ([], [50], [4, 4, 4], [4, 50, 1])] == [0, 1, 2, 1]
