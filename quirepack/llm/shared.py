@@ -24,7 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quirepack-shared"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    # a path without a scheme is one of Hadoop's default file system, which Python does not know
+    where = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return _file_system(spark, where).makeQualified(where).toString().rstrip("/")
+
+
+def _file_system(spark: SparkSession, where):
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
@@ -67,9 +73,8 @@ def spent(*tables: DataFrame) -> None:
     for table in tables:
         path = table.__dict__.pop("_quire_folder", None)
         if path:
-            jvm = table.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            where = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            _file_system(table.sparkSession, where).delete(where, True)
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
