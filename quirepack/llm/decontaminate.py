@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField
 
 from .arrowmap import with_columns
-from .shared import spent, written
+from .shared import plain, spent, written
 from .textscan import ALNUM_LOWER, Block, blocks, mix, sequence_hashes
 
 WINDOW = 13
@@ -217,6 +217,8 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
     bench = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("t"))
     # a partition of the benchmark at a time comes to the driver, a block at a time is kept
     parts = packed(((r["id"], r["t"]) for r in bench.toLocalIterator()), block_bytes, window)
+    df, names = plain(df, tuple(f.name for f in FIELDS))
+    text = names[text]
     out, kept, n = df, None, 0
     for ids, texts in parts:
         if n:
@@ -226,7 +228,8 @@ def find(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "i
             out = kept = table
         out = _scan(out, text, ids, searchers(texts, window), before=n > 0)
         n += 1
-    return out if n else _scan(df, text, [], [], before=False)
+    out = out if n else _scan(df, text, [], [], before=False)
+    return out.select(*names.values(), *(f.name for f in FIELDS)).toDF(*names, *(f.name for f in FIELDS))
 
 
 def contaminated(n_words="n_words", hits="hit_words"):
@@ -237,7 +240,8 @@ def contaminated(n_words="n_words", hits="hit_words"):
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """df without its contaminated rows."""
-    return find(df, benchmark, text).where(~contaminated()).select(*df.columns)
+    own, names = plain(df)
+    return find(own, benchmark, names[text]).where(~contaminated()).select(*names.values()).toDF(*names)
 
 
 def op2(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

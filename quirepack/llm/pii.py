@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import numbered, spent, written
+from .shared import numbered, plain, written
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 6
@@ -283,15 +283,17 @@ def redacted(text: Column, spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """df with its personal data replaced in the text; other columns as they are, null texts null."""
+    df, names = plain(df)
+    text = names[text]
     texts = numbered(df, ROW)
-    rows = written(with_candidates(texts.select(ROW, F.col(f"`{text}`").alias("text"))).select(ROW, "places"), "pii")
-    more = _discovered(rows, texts.select(ROW, F.col(f"`{text}`").alias("text")), "text")
+    rows = written(with_candidates(texts.select(ROW, F.col(text).alias("text"))).select(ROW, "places"), "pii")
+    more = _discovered(rows, texts.select(ROW, F.col(text).alias("text")), "text")
     few = (more.agg(F.sum(F.size("more"))).first()[0] or 0) <= MAX_BROADCAST_SPANS
     joined = texts.join(F.broadcast(more) if few else more, ROW, "left")
     # base spans are found again here, so that no text is dealt out
-    spans = F.when(F.col(f"`{text}`").rlike("[0-9@+]") | F.col("more").isNotNull(), _with_more(F.transform(base_spans(F.col(f"`{text}`")), lambda s: s.dropFields("tail")), F.col("more")))
-    body = _bound(spans, lambda x: redacted(F.col(f"`{text}`"), x))
-    return joined.withColumn("__redacted", F.coalesce(body, F.col(f"`{text}`"))).select(*(F.col("__redacted").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))
+    spans = F.when(F.col(text).rlike("[0-9@+]") | F.col("more").isNotNull(), _with_more(F.transform(base_spans(F.col(text)), lambda s: s.dropFields("tail")), F.col("more")))
+    body = _bound(spans, lambda x: redacted(F.col(text), x))
+    return joined.withColumn(text, F.coalesce(body, F.col(text))).select(*names.values()).toDF(*names)
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, plain
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -279,7 +279,13 @@ def judge(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("lang", "s
 
     fitted: rows with statistics already computed, where the caller has them.
     """
-    rows = with_features(with_statistics(df, text) if fitted is None else fitted)
+    if fitted is None:
+        results = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "estimate_depth", "kept")
+        own, names = plain(df, results)
+        inner = tuple(names[k] for k in keys)
+        statistics = with_statistics(own, names[text])
+        return judge(statistics, names[text], inner, cutoff, statistics).select(*names.values(), *results).toDF(*names, *results)
+    rows = with_features(fitted)
     usable = rows.where(~F.col("base_failed")).select(*keys, *FEATURES)
     model, count = fit(usable, list(keys))
     model = model if "__depth" in model.columns else model.withColumn("__depth", F.lit(None).cast("int"))

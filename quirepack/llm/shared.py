@@ -96,6 +96,13 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, F.col("__no") * ROWS_OF_A_FILE + F.col(name)).drop("__file", "__path", "__no")
 
 
+def plain(df: DataFrame, replaced: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns under plain names (c0, c1 ...), which clash with no inner name, and the plain name of each; replaced ones are left out."""
+    gone = {c.lower() for c in replaced}
+    names = [c for c in df.columns if c.lower() not in gone]
+    return df.select(*(F.col(f"`{c}`") for c in names)).toDF(*(f"c{i}" for i in range(len(names)))), {c: f"c{i}" for i, c in enumerate(names)}
+
+
 def freed() -> None:
     """Gives a worker's free memory back to the machine: workers are kept for later tasks, of other operators too."""
     pa.default_memory_pool().release_unused()

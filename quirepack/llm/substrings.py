@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
 from .arrowmap import with_columns
-from .shared import freed, numbered, spent, written
+from .shared import freed, numbered, plain, spent, written
 from .textscan import SPACED, Block, blocks, buffers, mix, sequence_hashes
 
 WINDOW = 35
@@ -306,8 +306,10 @@ def _covered(batch: pa.RecordBatch, block: Block, spans: str) -> np.ndarray:
 
 def with_kept(df: DataFrame, text: str = "text", window: int = WINDOW, most_runs: int = MOST_RUNS) -> DataFrame:
     """df with n_words, n_removed and kept (the words left, joined by one blank); columns of these names are replaced, all others stay."""
+    df, names = plain(df, ("n_words", "n_removed", "kept"))
+    text = names[text]
     keyed = numbered(df, KEY)
-    spans = duplicate_spans(keyed.select(F.col(KEY).alias("key"), F.col(f"`{text}`").alias("text")), window, most_runs=most_runs)
+    spans = duplicate_spans(keyed.select(F.col(KEY).alias("key"), F.col(text).alias("text")), window, most_runs=most_runs)
     rows = keyed.join(spans.select(F.col("key").alias("__key"), F.col("spans").alias("__spans")), F.col(KEY) == F.col("__key"), "left").drop("__key")
     fields = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
 
@@ -324,7 +326,7 @@ def with_kept(df: DataFrame, text: str = "text", window: int = WINDOW, most_runs
                 kept.append(b" ".join([raw[starts[i] : ends[i]] for i in (np.flatnonzero(stay[a:b]) + a).tolist()]).decode())
         return [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
 
-    return with_columns(rows, fields, compute).drop(KEY, "__spans")
+    return with_columns(rows, fields, compute).drop(KEY, "__spans").toDF(*names, "n_words", "n_removed", "kept")
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -17,13 +17,13 @@ import brute  # noqa: E402
 
 from quirepack.llm import decontaminate, jaccard, licenses, pieces, pii, quality, queries, sharding, substrings, token_files, warc  # noqa: E402
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, kept long, __hit long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, kept long, __hit long, __row string, c0 string, f_length long, hit_words string, n_words string"
 LONG = " ".join(f"l{i % 7001}" for i in range(20000))
 PASSAGE = [f"p{i}" for i in range(70)]
 
 
 def frame(spark, rows, parts=3):
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 7, 1) for i, t in rows], SCHEMA).repartition(parts)
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 7, 1, "r", "c", 3, "h", "w") for i, t in rows], SCHEMA).repartition(parts)
 
 
 def words(dice, n, most=3000):
@@ -70,7 +70,7 @@ def test_jaccard_of_many_near_copies_in_long_lists(spark):
 @pytest.mark.parametrize("most_runs", [1 << 14, 16, 1])
 def test_substrings(spark, texts, most_runs):
     got = substrings.with_kept(frame(spark, texts), most_runs=most_runs)
-    assert {"key", "lang", "n_chars"} <= set(got.columns)
+    assert tuple(got.select("key", "__row", "c0", "hit_words").first()) == ("k", "r", "c", "h")
     assert Counter(map(tuple, got.selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256)").collect())) == brute.substrings(texts)
 
 
@@ -98,12 +98,23 @@ def test_decontamination(spark, texts, block_bytes):
     few = ["a", "b", "c", "É", "d1"]
     docs = texts + [(3000 + i, " ".join(dice.choices(few, k=dice.randint(0, 60)))) for i in range(100)] + [(4000, "a " * 20000)]
     bench = [(i % 40, " ".join(dice.choices(few, k=dice.randint(0, 40)))) for i in range(50)] + [(None, "b c"), (77, None), (78, "!!"), (79, " ".join(dice.choices(few, k=400))), (79, "x"), (80, " ".join(PASSAGE).upper())]
-    found = decontaminate.find(frame(spark, docs).drop("__hit"), spark.createDataFrame(bench, "item_id long, text string"), block_bytes=block_bytes)
+    found = decontaminate.find(frame(spark, docs), spark.createDataFrame(bench, "item_id long, text string"), block_bytes=block_bytes)
     items = "sha2(cast(array_join(array_sort(hit_items), ',') as binary), 256)"
     got = found.selectExpr("doc_id", "n_words", "size(hit_words)", "size(hit_items)", items, "size(hit_words) > 0 and 20 * size(hit_words) >= n_words")
     assert Counter(map(tuple, got.collect())) == brute.contamination(docs, bench)
 
 
+def test_clean_rows_keep_their_columns(spark):
+    rows = frame(spark, [(1, "clean text"), (2, " ".join(PASSAGE)), (None, None)])
+    got = decontaminate.decontaminate(rows, spark.createDataFrame([(1, " ".join(PASSAGE))], "item_id long, text string"))
+    assert got.columns == rows.columns and {(r["doc_id"], r["hit_words"], r["n_words"], r["__hit"]) for r in got.collect()} == {(1, "h", "w", 1), (None, "h", "w", 1)}
+
+
+def test_judged_rows_keep_their_columns(spark):
+    got = quality.judge(frame(spark, [(i, " ".join(f"word{(i * 7 + k) % 97}x{k}" for k in range(60 + i % 40))) for i in range(90)]))
+    assert got.where("kept and f_length = 3 and c0 = 'c' and d2 is not null and n_words >= 60 and estimate_depth = 2").count() == 90
+
+
 def test_no_benchmark(spark, texts):
     got = decontaminate.op2(frame(spark, texts), spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(got) == len(texts) and not any(r["contaminated"] or r["n_items"] for r in got)
@@ -246,7 +257,7 @@ def test_base_spans_and_redaction(spark, personal):
             if int(a) >= at:
                 out += original[at : int(a)] + f"[{kind.upper()}]"
             at = max(at, int(b))
-        assert text == out + original[at:] and r["key"] == "k"
+        assert text == out + original[at:] and (r["key"], r["__row"], r["c0"], r["n_words"]) == ("k", "r", "c", "w")
 
 
 def test_patterns_bootstrap_from_instances_to_further_patterns(spark):
