@@ -1,16 +1,11 @@
-"""Operators against brute force, on a small fixture with nulls, empty texts, ties, repeats and clashing columns."""
-
-import hashlib
-import re
-import zlib
-from collections import Counter
+"""Empty tables, personal data, outliers and bitmaps on small fixtures; test_brute.py has the comparisons with brute force."""
 
 import numpy as np
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quirepack.llm import decontaminate, jaccard, licenses, pieces, pii, quality, sharding, substrings, token_files, warc  # noqa: E402
+from quirepack.llm import decontaminate, jaccard, licenses, pieces, pii, quality, sharding, substrings, token_files  # noqa: E402
 
 LONG = " ".join(f"w{i}" for i in range(60))
 TEXTS = [
@@ -19,7 +14,6 @@ TEXTS = [
     (11, "Released under the MIT License.\n" + " ".join(f"q{i}" for i in range(36))), (None, "no id"), (12, " \n"), (12, " \n"),
     (13, " ".join(f"v{i}" for i in range(10))), (14, " ".join(f"v{i}" for i in range(11))), (15, " ".join(f"v{i}" for i in range(1, 13))),
 ]
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 @pytest.fixture(scope="module")
@@ -36,72 +30,11 @@ def test_empty_tables(spark, docs):
         assert out.count() == 0
 
 
-def test_jaccard_components(docs):
-    got = Counter((r[0], r[1], r[2]) for r in jaccard.op1(docs).collect())
-    low = {i: WORD.findall((t or "").lower()) for i, t in TEXTS}
-    sets = {i: frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else frozenset() for i, w in low.items()}
-    root = {i: {i} for i in sets}
-    for a in sets:
-        for b in sets:
-            if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root[a] is not root[b]:
-                root[a] |= root[b]
-                for x in root[a]:
-                    root[x] = root[a]
-    least = lambda i: min((x for x in root[i] if x is not None), default=None)
-    assert got == Counter((i, len(sets[i]), least(i)) for i, _ in TEXTS)
-
-
-def test_substrings_removed(docs):
-    words = [(i, WORD.findall(t or "")) for i, t in TEXTS]
-    count = Counter(tuple(w[k : k + 35]) for _, w in words for k in range(len(w) - 34))
-    want = Counter()
-    for i, w in words:
-        gone = {p for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)}
-        want[i, len(w), len(gone), hashlib.sha256(" ".join(x for p, x in enumerate(w) if p not in gone).encode()).hexdigest()] += 1
-    assert Counter(map(tuple, substrings.with_kept(docs).selectExpr("doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256)").collect())) == want
-
-
-def test_decontamination(spark, docs):
-    bench = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(5, 25))), (2, "bob"), (3, None), (None, "!!")], "item_id long, text string")
-    for block in (1 << 20, 40):
-        got = {r["doc_id"]: (len(r["hit_words"]), list(r["hit_items"])) for r in decontaminate.find(docs, bench, block_bytes=block).collect()}
-        assert got[5] == (20, ["1"]) and got[10] == (1, ["2"]) and got[1] == (0, [])
-
-
-def test_shards_move_only_to_the_new_one(docs):
-    rows = sharding.shard(docs, "doc_id", "text", [1.0] * 16, [1.0] * 17).collect()
-    assert len(rows) == len(TEXTS) and all(r["shard"] == r["grown_shard"] or r["grown_shard"] == 16 for r in rows)
-    for s in {r["shard"] for r in rows}:
-        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
-    assert all(r["text_crc32"] == zlib.crc32((dict(TEXTS)[r["doc_id"]] or "").encode()) for r in rows if r["doc_id"])
 
 
-def test_archives_read_back(spark):
-    pages = spark.createDataFrame([(1, "u", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 9000)], "page_id long, url string, html string")
-    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in warc.op5(pages).collect()}
-    assert got[1][:3] == (4, "revisit", 2) and got[2][:3] == (4, "response", None) and got[3][:3] == (0, "revisit", 4)
-    assert got[5][0] == 18000 and got[4][3] == warc.sha1_base32(b"")
 
 
-def test_ids_read_back(docs):
-    from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    tokenizer, at = Tokenizer.from_file(path), 0
-    for r, (i, t) in zip(token_files.op7(known, path).orderBy("doc_id").collect(), sorted(dict(x for x in TEXTS if x[0]).items())):
-        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        assert tuple(r) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
-
-
-def test_pieces_equal_the_library(docs):
-    import sentencepiece
-
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    for r in pieces.encode(docs, path, decoded=True).collect():
-        assert list(r["ids"]) == model.encode(r["text"] or "") and r["decoded"] == model.decode(list(r["ids"]))
 
 
 def test_personal_data(docs):
@@ -117,16 +50,6 @@ def test_patterns_find_unseen_identifiers(spark):
     assert found[9] == "email:15:23"
 
 
-def test_licences(docs):
-    got = {r["doc_id"]: r["licenses"] for r in licenses.op6(docs).collect()}
-    assert got[11] == "MIT" and got[1] == got[10] == ""
-
-
-def test_quality_statistics(docs):
-    got = {r["doc_id"]: r for r in quality.op10(docs).collect()}
-    assert got[9]["n_repeat_words"] == 90 and got[9]["base_failed"] and got[1]["n_words"] == 0 and got[5]["kept"]
-    assert (got[11]["n_words"], got[11]["n_dup_lines"]) == (41, 0)
-
 
 def test_outliers_are_rejected(spark):
     rows = [(i, " ".join(f"word{(i * 7 + k) % 997}" for k in range(60 + i % 40)), "en", "s") for i in range(200)]
