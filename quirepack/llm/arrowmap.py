@@ -6,7 +6,9 @@ import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +16,39 @@ from pyspark.sql.types import StructField, StructType
 
 from .shared import freed
 
+#: Bytes of text that are computed and given back at a time: a worker holds a batch of up to 64 MB, but not its results.
+PART_BYTES = 1 << 20
 
-def with_columns(df: DataFrame, fields: Sequence[StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """df with columns computed from whole Arrow batches; columns of the same names are replaced."""
-    names = {f.name.lower() for f in fields}
-    df = df.select(*(df[f"`{c}`"] for c in df.columns if c.lower() not in names))
-    schema = StructType([*(StructField(f.name, f.dataType, True) for f in df.schema.fields), *fields])
+
+def parts(batch: pa.RecordBatch, text: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most so many bytes of a text column; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, most + (ends[i - 1] if i else 0), side="right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def mapped(compute: Callable[[pa.RecordBatch], list[pa.Array]], kept: Sequence[str], added: Sequence[str], text: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The map that gives the kept columns of batches, and added ones by compute; with a text column, in parts() of each batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *compute(batch)], names=schema.names)
+            for part in parts(batch, text) if text else [batch]:
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *compute(part)], names=[*kept, *added])
         freed()
 
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def with_columns(df: DataFrame, fields: Sequence[StructField], compute: Callable[[pa.RecordBatch], list[pa.Array]], text: str | None = None, gone: Sequence[str] = ()) -> DataFrame:
+    """df with columns computed from Arrow batches, or from parts of them if a text column is named; columns of the same names are replaced, those in gone only computed from."""
+    names = {f.name.lower() for f in fields}
+    df = df.select(*(df[f"`{c}`"] for c in df.columns if c.lower() not in names))
+    kept = [f for f in df.schema.fields if f.name not in gone]
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in kept), *fields])
+    return df.mapInArrow(mapped(compute, [f.name for f in kept], [f.name for f in fields], text), schema)
 
 
 def published(folder: str, name: str, parts: Iterator[bytes]) -> None:

@@ -28,7 +28,7 @@ from .segments import SegmentIds
 from .textscan import buffers
 
 MARK = "▁"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 _NONE = np.int64(1 << 40)
 _SHIFT = 21
 
@@ -250,11 +250,11 @@ def encode(df: DataFrame, model: str, text: str = "text", decoded: bool = False)
         out = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))]
         return out + ([pa.array([t.decode(errors="replace") for t in texts], pa.string())] if decoded else [])
 
-    return with_columns(df, fields, compute)
+    return with_columns(df, fields, compute, text)
 
 
 def digests(df: DataFrame, model: str, text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Adds n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded texts, and ids if asked for; else neither ids nor texts go through the JVM."""
+    """n_tokens, ids_sha256 and decoded_sha256 of the encoded and decoded texts in place of the texts, and ids if asked for; else ids do not go through the JVM."""
     fields = [StructField("ids", ArrayType(IntegerType()))] * with_ids + [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -270,13 +270,13 @@ def digests(df: DataFrame, model: str, text: str = "text", with_ids: bool = Fals
         own_ids = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))] if with_ids else []
         return own_ids + [pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
 
-    return with_columns(df, fields, compute)
+    return with_columns(df, fields, compute, text, gone=[text])
 
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids, n_tokens and the digests of the ids and of the decoded text."""
-    return digests(docs.select("doc_id", "text"), model, with_ids=True).drop("text")
+    return digests(docs.select("doc_id", "text"), model, with_ids=True)
 
 
 def op8(docs: DataFrame, model: str) -> DataFrame:
-    return digests(docs.select("doc_id", "text"), model).drop("text")
+    return digests(docs.select("doc_id", "text"), model)
